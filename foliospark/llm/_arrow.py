@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def list_of(values: np.ndarray, lengths: list[int] | np.ndarray) -> pa.ListArray:
@@ -21,7 +22,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text_col))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         block = np.cumsum(sizes) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -33,8 +34,6 @@ def each_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str) ->
     """f as a function for mapInArrow, over batches of bounded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in small_batches(batches, text_col):
             yield f(batch)
 

@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import encode, lines, nearest
+from foliospark.llm import encode, language, lines, mix, nearest, sentences, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_texts(_t(spark, d, "documents"), with_text=False).where("piece_no = 1").select("doc_id")
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_texts(_t(spark, d, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_quotes(_t(spark, d, "filing_returns"), _t(spark, d, "price_quotes"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_boundaries(_t(spark, d, "documents"))
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(_t(spark, d, "documents"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.against_older_counts(_t(spark, d, "documents"), _t(spark, d, "finbert_sentence_scores"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_t(spark, d, "documents"))
 
@@ -41,6 +61,27 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode(encode.encode_ids(_t(spark, d, "documents")))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return language.languages_of(docs, language.train(_t(spark, d, "lang_samples"), docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(_languages(spark, d))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "line_no", "language", F.round("confidence", 6).alias("confidence"))
+
+
 #: White space as in Unicode, for DuckDB's patterns.
 WS = r"[\s\x{0B}\x{85}\p{Z}]"
 
@@ -60,16 +101,26 @@ k as (select ticker, line, count(distinct doc_id) as n_docs, count(distinct raw)
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
+    "p3_counts": p3_counts,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_clean": p5_clean,
     "p6_ids": p6_ids,
     "p6_offsets": p6_offsets,
     "p6_decoded": p6_decoded,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }
 
 SQL = {
+    "p1_found": "select doc_id from documents where length(text) > 4000",
     "p2_found": P2_FOUND,
     "p5_found": _P5_LINES + "select doc_id, line_no::int as line_no from f join k using (ticker, line)",
     "p5_report": _P5_LINES + "select ticker, line, n_docs::bigint as n_docs, n_variants::bigint as n_variants from k",
