@@ -207,8 +207,10 @@ def train(samples: DataFrame, docs: DataFrame | None = None, *, sample_docs: int
     if docs is None or not model.languages:
         return model
     part = F.array_join(F.transform(F.slice(F.split(F.substring(text_col, 1, 16000), "\n"), 1, 40), lambda x: F.substring(x, 1, 400)), "\n")
-    ids = docs.where(F.col(label_col).isNotNull() & (F.length(text_col) > 200)).select(norm_label(F.col(label_col)).alias("label"), part.alias("part"), F.xxhash64(id_col).alias("h"))
-    rows = ids.orderBy("h").limit(sample_docs).select("label", "part").collect()
+    # Only hashes under a bound that leaves about twice as many documents as are wanted: what is sorted does not grow with docs.
+    bound = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * sample_docs / max(1, docs.count()))))
+    ids = docs.withColumn("_h", F.xxhash64(id_col, F.lit(11))).where((F.col("_h") <= bound) & F.col(label_col).isNotNull() & (F.length(text_col) > 200))
+    rows = ids.select(norm_label(F.col(label_col)).alias("label"), part.alias("part"), "_h").orderBy("_h").limit(sample_docs).select("label", "part").collect()
     return fit(first + confirmed(model, [(r[0], r[1]) for r in rows], per_language=per_language), landmarks=landmarks)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import encode, language, lines, mix, nearest, sentences, split
+from foliospark.llm import encode, language, lines, mix, nearest, neardup, sentences, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return sentences.against_older_counts(_t(spark, d, "documents"), _t(spark, d, "finbert_sentence_scores"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(_t(spark, d, "documents"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_t(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_t(spark, d, "documents"))
 
@@ -94,6 +102,14 @@ m as (select d.*, q.quote_id, row_number() over (partition by d.return_id, d.dat
 select return_id, date_field, quote_id from m where rn = 1
 """
 
+_P4 = f"""
+with w as (select doc_id, list_filter(string_split_regex(lower(text), '{WS}+'), lambda x: x <> '') as w from documents where text is not null),
+s as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as run from w where len(w) >= 30),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as doc_id_a, b.doc_id as doc_id_b, count(*) as c from s a join s b on a.run = b.run and a.doc_id < b.doc_id group by 1, 2),
+p as (select doc_id_a, doc_id_b from c join n x on x.doc_id = doc_id_a join n y on y.doc_id = doc_id_b where c.c >= 0.6 * (x.n + y.n - c.c) - 1e-9)
+"""
+
 _P5_LINES = f"""
 with l as (select doc_id, upper(regexp_replace(ticker, '^{WS}+|{WS}+$', '', 'g')) as ticker, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where ticker is not null),
 f as (select doc_id, ticker, line_no, raw, regexp_replace(trim(regexp_replace(lower(raw), '{WS}+', ' ', 'g'), ' '), '[0-9]+', '#', 'g') as line from l),
@@ -107,6 +123,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
     "p3_counts": p3_counts,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_clean": p5_clean,
@@ -122,6 +140,7 @@ QUERIES = {
 SQL = {
     "p1_found": "select doc_id from documents where length(text) > 4000",
     "p2_found": P2_FOUND,
+    "p4_found": _P4 + "select doc_id_a, doc_id_b from p",
     "p5_found": _P5_LINES + "select doc_id, line_no::int as line_no from f join k using (ticker, line)",
     "p5_report": _P5_LINES + "select ticker, line, n_docs::bigint as n_docs, n_variants::bigint as n_variants from k",
     "p5_clean": _P5_LINES
