@@ -3,14 +3,16 @@
 A document is the set of its distinct runs of consecutive words. Two sets with a Jaccard similarity of t or more differ in at
 most b * (|A| + |B|) runs, b = (1 - t) / (1 + t): a Hamming threshold in proportion to their sizes. The universe of runs is cut
 into a ring of segments by hash. If the whole differences stay within the whole budget, there is a segment from which, going
-round the ring, the differences of every chain of consecutive segments stay within those segments' share of the budget (the
+round the ring, the differences of every chain of consecutive segments stay within as many shares of the budget (the
 cycle lemma behind the pigeonring principle). This gives, without loss:
 
-1. Candidates. At the first segment of such a chain the two parts alone have a similarity of t, so among the first
-   n - ceil(t * n) + 1 runs of either part, in one common order with the rare ones first, they share a run. Only these are
-   indexed. The order comes from a frequency sketch of fixed size; a rough sketch costs time, never pairs.
-2. Chains. Each set has a small sketch by segment: its size and a bitmap of hashed runs, whose difference never exceeds the true
-   one. A candidate without a chain round the ring whose sums stay within budget is dropped.
+1. Candidates. Among the first n - ceil(t * n) + 1 runs of either set, in one common order with the rare ones first, a pair
+   shares a run, and the first run they share leaves either set long enough. Only these are indexed. The order comes from a frequency sketch of fixed size; a rough sketch costs time,
+   never pairs. (Taking the first runs of every segment by itself, as the ring would allow, indexes the runs of boilerplate
+   wherever they crowd a segment; over the whole set they come last.)
+2. Chains. Each set has a sketch: for each segment a bitmap of its hashed runs, in length proportional to the set. The bits in
+   which two bitmaps differ are never more than the runs. A candidate without a chain round the ring, of which every part of
+   l segments differs in at most l / m of the budget, is dropped.
 3. Full check. The rest is compared run by run.
 
 Documents with equal sets are one class throughout; classes, not documents, are indexed, so copies never meet each other. A
@@ -21,11 +23,13 @@ already shows as very common are not even shuffled by run.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +40,11 @@ SEGMENTS = 8
 FREQUENCY_BITS = 22
 MEMBER_BITS = 22
 HOT = 200
-HOT_LEVEL = 16
+HOT_LEVEL = 120
 BLOCK = 2000
 TOKENS_A_PART = 4_000_000
 EXPAND_UP_TO = 1000
+CHUNK = 1 << 14
 _M40 = np.uint64((1 << 40) - 1)
 
 
@@ -85,22 +90,27 @@ def _segment(runs: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(runs: np.ndarray) -> bytes:
-    """Size (4 bytes) and 64-bit bitmap of each segment."""
-    seg = _segment(runs)
-    sizes = np.bincount(seg, minlength=SEGMENTS).astype(np.uint32)
-    bits = np.zeros(SEGMENTS, np.uint64)
-    np.bitwise_or.at(bits, seg, np.uint64(1) << ((runs >> np.uint64(20)) & np.uint64(63)))
-    return bits.tobytes() + sizes.tobytes()
+    """A bitmap for each segment, of a power of two of bits: 64, or more so that a segment has 1.5 bits for each run it should have."""
+    bits = 64
+    while bits * SEGMENTS < 1.5 * len(runs):
+        bits *= 2
+    out = np.zeros(SEGMENTS * bits, np.uint8)
+    out[_segment(runs) * bits + ((runs >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def _unpack(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SEGMENTS * 12)
-    return np.ascontiguousarray(raw[:, : SEGMENTS * 8]).view(np.uint64), np.ascontiguousarray(raw[:, SEGMENTS * 8 :]).view(np.uint32).astype(np.float64)
+def _bitmaps(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as (sketches, segments, words), folded to `width` bytes."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SEGMENTS, -1)
+    while raw.shape[2] * SEGMENTS > width:
+        half = raw.shape[2] // 2
+        raw = raw[:, :, :half] | raw[:, :, half:]
+    return np.ascontiguousarray(raw).view(np.uint64)
 
 
 def chains(diff: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """For rows of segment differences and budgets: whether a chain goes round the ring with every sum within budget."""
-    over = diff - budget
+    """For rows of segment differences and the budget of one segment: whether a chain goes round the ring within budget."""
+    over = diff - budget[:, None]
     alive = np.ones(over.shape, dtype=bool)
     total = np.zeros(over.shape)
     for step in range(over.shape[1]):
@@ -111,43 +121,49 @@ def chains(diff: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return alive.any(axis=1)
 
 
-def ring_filter(bits_a, sizes_a, bits_b, sizes_b, threshold: float) -> np.ndarray:
-    b = (1 - threshold) / (1 + threshold)
-    diff = np.maximum(np.bitwise_count(bits_a ^ bits_b), np.abs(sizes_a - sizes_b))
-    return chains(diff, b * (sizes_a + sizes_b))
+def ring_filter(sketch_a: list[bytes], size_a: np.ndarray, sketch_b: list[bytes], size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sketches may belong to sets of the threshold."""
+    keep = np.zeros(len(sketch_a), dtype=bool)
+    widths = np.array([(len(x), len(y)) for x, y in zip(sketch_a, sketch_b)]).reshape(-1, 2)
+    share = (1 - threshold) / (1 + threshold) / SEGMENTS
+    for wa, wb in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths[:, 0] == wa) & (widths[:, 1] == wb))
+        a, b = (_bitmaps([s[k] for k in at], min(wa, wb)) for s in (sketch_a, sketch_b))
+        keep[at] = chains(np.bitwise_count(a ^ b).sum(axis=2, dtype=np.int64), share * (size_a[at] + size_b[at]))
+    return keep
 
 
-def _need(n: np.ndarray | int, t: float):
-    return np.ceil(t * n - 1e-9).astype(np.int64) if isinstance(n, np.ndarray) else int(np.ceil(t * n - 1e-9))
+def _need(n: int, t: float) -> int:
+    """The least number of runs that a set of n shares with a partner."""
+    return int(np.ceil(t * n - 1e-9))
 
 
-def indexed_runs(runs: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(runs, levels) to index: of each segment the first in the common order, as many as the threshold asks for."""
+def indexed_runs(runs: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, levels, places) to index: the first of the set in the common order, as many as the threshold asks for.
+
+    places are those in the order as 255ths of the set, rounded down.
+    """
     lv = level[(runs & np.uint64((1 << FREQUENCY_BITS) - 1)).astype(np.int64)]
-    order = np.lexsort((runs, lv, _segment(runs)))
-    runs, lv = runs[order], lv[order]
-    seg = _segment(runs)
-    sizes = np.bincount(seg, minlength=SEGMENTS)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    rank = np.arange(len(runs)) - starts[seg]
-    keep = rank < (sizes - _need(sizes, threshold) + 1)[seg]
-    return runs[keep], lv[keep]
+    order = np.lexsort((runs, lv))[: len(runs) - _need(len(runs), threshold) + 1]
+    return runs[order], lv[order], (np.arange(len(order)) * 255 // len(runs)).astype(np.uint8)
 
 
-def _pack40(tokens: np.ndarray) -> bytes:
-    return (tokens & _M40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack40(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    few = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :width] = few
     return out.view("<u8").ravel()
 
 
-def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class a, class b, positions of hot rows): pairs a < b of different classes with a token in common and sizes near enough.
+def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class a, class b, positions of hot rows): pairs a < b of different classes that may have this token as their first in common.
 
+    Their sizes must be near enough, and from the token on either set must have as many runs left as the pair must share.
     Tokens of more than `hot` classes give no pairs; their rows are named instead.
     """
     if not len(tokens):
@@ -159,13 +175,15 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, thre
     order = order[fresh]
     order = order[np.lexsort((sizes[order], tokens[order]))]
     t, c, s = tokens[order], classes[order], sizes[order].astype(np.float64)
+    left = s - np.floor(places[order] * s / 255)
     new = np.concatenate([[True], t[1:] != t[:-1]])
     group = np.cumsum(new) - 1
     count = np.bincount(group)
     is_hot = count[group] > hot
     hot_rows = order[is_hot]
     keep = ~is_hot & (count[group] > 1)
-    t, c, s = t[keep], c[keep], s[keep]
+    t, c, s, left = t[keep], c[keep], s[keep], left[keep]
+    share = threshold / (1 + threshold)
     out_a, out_b = [], []
     at = np.arange(len(t))
     d = 1
@@ -174,7 +192,8 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, thre
         at = at[(t[at] == t[at + d]) & (s[at] >= threshold * s[at + d] - 1e-9)]  # sizes ascend: once too far, always too far
         if not len(at):
             break
-        x, y = c[at], c[at + d]
+        near = at[np.minimum(left[at], left[at + d]) >= share * (s[at] + s[at + d]) - 1e-6]
+        x, y = c[near], c[near + d]
         out_a.append(np.minimum(x, y))
         out_b.append(np.maximum(x, y))
         d += 1
@@ -185,30 +204,48 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, thre
     return np.asarray(pair.f0), np.asarray(pair.f1), hot_rows
 
 
-def _bytes_by_range(rows: DataFrame, value: str, width: int, empty: int) -> np.ndarray:
-    """A table (bucket, value 0-255) as one array of fixed size `width`; what comes to the driver are its bytes."""
-    chunk = 1 << 14
+def _flags(rows: DataFrame, width: int) -> np.ndarray:
+    """Numbers (bucket) below width as an array of 0 and 1; what comes to the driver are its bytes, of a fixed size."""
 
     def pack(key, table):
-        out = np.full(chunk, empty, np.uint8)
-        out[np.asarray(table["bucket"]) % chunk] = np.asarray(table[value])
+        out = np.zeros(CHUNK, np.uint8)
+        out[np.asarray(table["bucket"]) % CHUNK] = 1
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
 
-    packed = rows.withColumn("part", F.expr(f"cast(bucket div {chunk} as int)")).groupBy("part").applyInArrow(pack, "part int, bytes binary")
-    out = np.full(width, empty, np.uint8)
-    for part, raw in packed.collect():
-        out[part * chunk : (part + 1) * chunk] = np.frombuffer(bytes(raw), np.uint8)
+    return _assembled(rows.withColumn("part", F.expr(f"cast(bucket div {CHUNK} as int)")).groupBy("part").applyInArrow(pack, "part int, bytes binary"), width)
+
+
+def _levels(rows: DataFrame) -> np.ndarray:
+    """From compressed chunks of counts (bucket, sketch) the level of every bucket: eight times the logarithm of one more than its count."""
+
+    def add(key, table):
+        total = np.zeros(CHUNK, np.int64)
+        for raw in table["sketch"]:
+            total += np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+        level = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([level.tobytes()], pa.binary())})
+
+    return _assembled(rows.groupBy("bucket").applyInArrow(add, "part int, bytes binary"), 1 << FREQUENCY_BITS)
+
+
+def _assembled(chunks: DataFrame, width: int) -> np.ndarray:
+    out = np.zeros(width, np.uint8)
+    for part, raw in chunks.collect():
+        out[part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(bytes(raw), np.uint8)
     return out
 
 
 def _read_classes(src: DataFrame, words: int, min_words: int) -> DataFrame:
-    """kind 0: (doc_id, cls, size, sketch) of each document that is long enough; kind 1: (bucket, n) of frequent buckets of runs."""
-    schema = "kind tinyint, doc_id bigint, cls bigint, size int, sketch binary, bucket int, n int"
+    """kind 0: (doc_id, cls, size, sketch) of each document that is long enough; kind 1: counts of runs by hash.
+
+    Each task counts into an array of fixed size and gives it in compressed chunks, no count over 255.
+    """
+    schema = "kind tinyint, doc_id bigint, cls bigint, size int, sketch binary, bucket int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << FREQUENCY_BITS, np.uint32)
-        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-        names = ["kind", "doc_id", "cls", "size", "sketch", "bucket", "n"]
+        seen = np.zeros(1 << FREQUENCY_BITS, np.uint16)
+        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+        names = ["kind", "doc_id", "cls", "size", "sketch", "bucket"]
         mask = np.uint64((1 << FREQUENCY_BITS) - 1)
         for batch in small_batches(batches, "text"):
             ids, cls, sizes, sketches, all_runs = [], [], [], [], []
@@ -222,14 +259,14 @@ def _read_classes(src: DataFrame, words: int, min_words: int) -> DataFrame:
                 sketches.append(sketch_of(runs))
                 all_runs.append(runs)
             if ids:
-                seen += np.bincount((np.concatenate(all_runs) & mask).astype(np.int64), minlength=len(seen)).astype(np.uint32)
+                np.add.at(seen, (np.concatenate(all_runs) & mask).astype(np.int64), np.uint16(1))
+                np.minimum(seen, 30_000, out=seen)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(ids, kinds[1]), pa.array(cls, kinds[2]), pa.array(sizes, kinds[3]), pa.array(sketches, kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
-        often = np.flatnonzero(seen >= max(4, 4 * seen.mean()))
-        for k in range(0, len(often), 1 << 16):
-            part = often[k : k + (1 << 16)]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), *(pa.nulls(n, x) for x in kinds[1:5]), pa.array(part.astype(np.int32)), pa.array(seen[part].astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(ids, kinds[1]), pa.array(cls, kinds[2]), pa.array(sizes, kinds[3]), pa.array(sketches, kinds[4]), pa.nulls(n, kinds[5])], names=names)
+        for k in range(0, len(seen), CHUNK):
+            part = np.minimum(seen[k : k + CHUNK], 255).astype(np.uint8)
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([1], kinds[0]), *(pa.nulls(1, x) for x in kinds[1:4]), pa.array([zlib.compress(part.tobytes(), 1)], kinds[4]), pa.array([k // CHUNK], kinds[5])], names=names)
 
     return src.mapInArrow(run, schema)
 
@@ -237,7 +274,7 @@ def _read_classes(src: DataFrame, words: int, min_words: int) -> DataFrame:
 def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int) -> DataFrame:
     """Pairs of hot tokens: rows (token, cls, size) go to cells of two blocks of near sizes, compared there by their sketches."""
     step = -log(threshold)
-    hot = hot.distinct().withColumn("c", F.floor(F.log("size") / F.lit(step)).cast("int"))
+    hot = hot.select("token", "cls", "size").distinct().withColumn("c", F.floor(F.log("size") / F.lit(step)).cast("int"))
     counts = hot.groupBy("token", "c").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("salts"))
     hot = hot.join(counts, ["token", "c"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
     near = counts.select("token", F.col("c").alias("c2"), F.col("salts").alias("salts2"))
@@ -245,17 +282,18 @@ def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int
     asks = asks.join(near, ["token", "c2"]).select("token", "cls", "c", "salt", "c2", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2"))
     mine, other = F.struct("c", "salt"), F.struct(F.col("c2").alias("c"), F.col("salt2").alias("salt"))
     cells = asks.select("cls", F.xxhash64("token", F.least(mine, other), F.greatest(mine, other)).alias("cell"), (mine <= other).alias("left"), (mine >= other).alias("right"))
-    cells = cells.join(sketches, "cls")
+    cells = cells.join(sketches, "cls").select("cell", "cls", "left", "right", "size", "sketch")
 
     def compare(table):
-        cls = np.asarray(table["cls"])
-        bits, sizes = _unpack(table["sketch"].to_pylist())
+        cls, sizes, raw = np.asarray(table["cls"]), np.asarray(table["size"]), table["sketch"].to_pylist()
         left, right = np.flatnonzero(np.asarray(table["left"])), np.flatnonzero(np.asarray(table["right"]))
+        alone = len(left) == len(right) == len(cls)
         a, b = [], []
         for k in left:
-            ok = right[(cls[right] > cls[k]) if len(left) == len(right) == len(cls) else (cls[right] != cls[k])]
+            ok = right[(cls[right] > cls[k]) if alone else (cls[right] != cls[k])]
+            ok = ok[np.minimum(sizes[ok], sizes[k]) >= threshold * np.maximum(sizes[ok], sizes[k]) - 1e-9]
             if len(ok):
-                ok = ok[ring_filter(bits[k], sizes[k], bits[ok], sizes[ok], threshold)]
+                ok = ok[ring_filter([raw[k]] * len(ok), np.full(len(ok), sizes[k]), [raw[j] for j in ok], sizes[ok], threshold)]
                 a.append(np.minimum(cls[k], cls[ok]))
                 b.append(np.maximum(cls[k], cls[ok]))
         e = np.zeros(0, np.int64)
@@ -275,10 +313,9 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read = materialize(_read_classes(src, words, min_words), "neardup-classes")
     documents = read.where("kind = 0")
     members = documents.select("cls", "doc_id").distinct()
-    sketches = documents.groupBy("cls").agg(F.first("sketch").alias("sketch"))
-    frequent = read.where("kind = 1").groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.least(F.lit(255), F.floor(F.log2("n") * 1.0) + 1).cast("int").alias("level"))
-    level = spark.sparkContext.broadcast(_bytes_by_range(frequent, "level", 1 << FREQUENCY_BITS, 0))
-    asked = documents.agg(F.coalesce(F.sum(F.col("size") * (1 - threshold) + SEGMENTS), F.lit(0))).head()[0]
+    sketches = documents.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "sketch")).alias("s")).select("cls", "s.size", "s.sketch")
+    level = spark.sparkContext.broadcast(_levels(read.where("kind = 1").select("bucket", "sketch")))
+    asked = documents.agg(F.coalesce(F.sum(F.col("size") * (1 - threshold) + 1), F.lit(0))).head()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(asked // TOKENS_A_PART) + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +331,10 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     continue
                 if len(done) < 2_000_000:
                     done.add(c)
-                tokens, lv = indexed_runs(runs, level.value, threshold)
-                tokens &= _M40
+                tokens, lv, places = indexed_runs(runs, level.value, threshold)
+                tokens = tokens & _M40 | places.astype(np.uint64) << np.uint64(40)
                 common = lv >= hot_level
-                where = (tokens % np.uint64(parts)).astype(np.int64)
+                where = ((tokens & _M40) % np.uint64(parts)).astype(np.int64)
                 where[common] = -1
                 order = np.argsort(where, kind="stable")
                 where, tokens = where[order], tokens[order]
@@ -307,23 +344,25 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     part.append(p if p >= 0 else c % parts)
                     cls.append(c)
                     sizes.append(len(runs) if p >= 0 else -len(runs))  # a negative size: tokens known to be hot
-                    packed.append(_pack40(tokens[x:y]))
+                    packed.append(_pack(tokens[x:y], 6))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["part", "cls", "size", "tokens"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, classes, sizes = [], [], []
         for b in batches:
             raw = b.column(3)
-            lengths = np.asarray(pa.compute.binary_length(raw), dtype=np.int64) // 5
-            tokens.append(_unpack40(b"".join(raw.to_pylist())))
+            lengths = np.asarray(pc.binary_length(raw), dtype=np.int64) // 6
+            tokens.append(_unpack(b"".join(raw.to_pylist()), 6))
             classes.append(np.repeat(np.asarray(b.column(1)), lengths))
             sizes.append(np.repeat(np.asarray(b.column(2)), lengths))
         if not tokens:
             return
         t, c, s = np.concatenate(tokens), np.concatenate(classes), np.concatenate(sizes)
         del tokens, classes, sizes
+        place = (t >> np.uint64(40)).astype(np.int64)
+        t &= _M40
         known = s < 0
-        a, b, rows = group_pairs(t[~known], c[~known], s[~known], threshold, hot)
+        a, b, rows = group_pairs(t[~known], c[~known], s[~known], place[~known], threshold, hot)
         names = ["kind", "a", "b", "size"]
         step = 1 << 18
         for k in range(0, len(a), step):
@@ -343,12 +382,13 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = ring_filter(*_unpack(batch.column(2).to_pylist()), *_unpack(batch.column(3).to_pylist()), threshold)
+                sa, na, sb, nb = (batch.column(k) for k in range(2, 6))
+                keep = ring_filter(sa.to_pylist(), np.asarray(na), sb.to_pylist(), np.asarray(nb), threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    sa = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
-    sb = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-    passed = candidates.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(ring, "a bigint, b bigint")
+    sa = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
+    sb = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
+    passed = candidates.join(sa, "a").join(sb, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(ring, "a bigint, b bigint")
     hot_rows = paired.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "size")
     if not hot_rows.isEmpty():
         passed = passed.unionByName(_hot_pairs(hot_rows, sketches, threshold, block)).distinct()
@@ -361,8 +401,8 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
     spark = src.sparkSession
     needed = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     first = documents.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls").select("cls", "doc_id")
-    slots = first.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)).cast("int").alias("bucket"), F.lit(1).alias("one")).distinct()
-    asked = spark.sparkContext.broadcast(_bytes_by_range(slots, "one", 1 << MEMBER_BITS, 0))
+    slots = first.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)).cast("int").alias("bucket")).distinct()
+    asked = spark.sparkContext.broadcast(_flags(slots, 1 << MEMBER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -373,18 +413,17 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
                 runs = runs_of(t, words, min_words)
                 if runs is not None:
                     cls.append(_class_of(runs))
-                    packed.append(_pack40(runs))
+                    packed.append(_pack(runs, 5))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "runs"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)).cast("int").alias("slot")
-    found = src.select("doc_id", "text", slot).mapInArrow(sets, "cls bigint, runs binary").groupBy("cls").agg(F.first("runs").alias("runs"))
-    found = materialize(found, "neardup-sets")
+    found = src.select("doc_id", "text", slot).mapInArrow(sets, "cls bigint, runs binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = _unpack40(x), _unpack40(y)
+                a, b = _unpack(x, 5), _unpack(y, 5)
                 both = np.sort(np.concatenate([a, b]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(common + 1e-9 >= threshold * (len(both) - common))
@@ -392,7 +431,8 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
 
     ra = found.select(F.col("cls").alias("a"), F.col("runs").alias("ra"))
     rb = found.select(F.col("cls").alias("b"), F.col("runs").alias("rb"))
-    return materialize(passed.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(check, "a bigint, b bigint"), "neardup-links")
+    # A class can come twice, from documents that share a slot; its pairs are then the same.
+    return materialize(passed.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(check, "a bigint, b bigint").distinct(), "neardup-links")
 
 
 def similar_pairs(docs: DataFrame, *, expand_up_to: int = EXPAND_UP_TO, **how) -> DataFrame:
