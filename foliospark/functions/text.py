@@ -24,3 +24,59 @@ def norm_ticker(c: Column) -> Column:
 def is_blank(c: Column) -> Column:
     """True for null and for texts of white space only."""
     return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
+
+
+def first_n(c: Column, n: int) -> Column:
+    """The first n code points; the empty string for null and for n <= 0."""
+    return F.coalesce(F.substring(c, 1, n), F.lit("")) if n > 0 else F.lit("")
+
+
+def join_nonempty(parts: list[Column], sep: str) -> Column:
+    """The parts that are neither null nor empty, with sep between them."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), sep)
+
+
+def safe_name(c: Column) -> Column:
+    """Every character outside letters, digits, dot, underscore and hyphen becomes an underscore."""
+    return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
+
+
+def norm_label(c: Column) -> Column:
+    """The section key of a free label: 1A, 1, 7A or 7 where it is named (in this order), else the cleaned label; null as 'none'."""
+    s = F.regexp_replace(F.lower(trim_ws(F.coalesce(c, F.lit("none")))), r"(?U)[\s.\-:_]+", " ")
+    out = s
+    for key in ("7", "7A", "1", "1A"):
+        low = key.lower()
+        out = F.when(s.contains(f"item {low}") | s.isin(low, f"item{low}"), F.lit(key)).otherwise(out)
+    return out
+
+
+def norm_item(c: Column) -> Column:
+    """Upper case without ITEM, trimmed, a final dot of the four section numbers removed."""
+    s = trim_ws(F.replace(F.replace(F.upper(c), F.lit("ITEM "), F.lit("")), F.lit("ITEM"), F.lit("")))
+    return F.when(s.isin("1A.", "7.", "1.", "7A."), F.regexp_replace(s, r"\.$", "")).otherwise(s)
+
+
+def zero_fill(c: Column, width: int) -> Column:
+    """Zeros on the left up to width; longer values stay whole (lpad would cut them)."""
+    s = c.cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
+def match_starts(text: Column, pattern: str) -> Column:
+    """0-based code point offsets of all matches; pattern's first group must begin where the match does.
+
+    A mark is put before each match, the text is split there and the lengths are added up: offsets count code points, which
+    regexp_instr does not. A U+0001 of the text itself is taken for a space first, which changes no offset.
+    """
+    clean = F.translate(text, "\x01", " ")
+    lengths = F.transform(F.split(F.regexp_replace(clean, pattern, "\x01$1"), "\x01", -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    walked = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")))
+    return F.slice(walked["all"], 1, F.size(lengths) - 1)
+
+
+def summarize(c: Column, n: int = 240) -> Column:
+    """White space collapsed, cut to n code points, with an ellipsis only if something was cut."""
+    s = collapse_ws(trim_ws(c))
+    return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("…"))).otherwise(s)
