@@ -104,7 +104,7 @@ def looks_like_xml(text: Column) -> Column:
 
 def decode_page(content: Column) -> Column:
     """Bytes as UTF-8 without the bytes that are none (a U+FFFD of the page itself goes with them)."""
-    return F.replace(content.cast("string"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def page_score(text: Column, size: Column, name: Column, *, short: int = 10_000, good_terms=P.GOOD_TERMS, headers=P.TARGET_HEADERS, bad_names=P.BAD_NAME_HINTS) -> Column:

@@ -13,16 +13,19 @@ def capitalized_grams(line: Column) -> Column:
 
     A token that is a known non-brand starts no phrase.
     """
-    tokens = F.regexp_extract_all(line, F.lit(P.CAPITALIZED), F.lit(0))
     none = F.array(*[F.lit(x) for x in P.NO_BRANDS])
 
-    def at(t: Column, i: Column) -> Column:
-        two = F.when(i + 1 < F.size(tokens), F.concat_ws(" ", t, F.get(tokens, i + 1)))
-        three = F.when(i + 2 < F.size(tokens), F.concat_ws(" ", t, F.get(tokens, i + 1), F.get(tokens, i + 2)))
-        return F.when(F.array_contains(none, t), F.array().cast("array<string>")).otherwise(F.array(t, two, three))
+    def grams(tokens: Column) -> Column:
+        def at(t: Column, i: Column) -> Column:
+            two = F.when(i + 1 < F.size(tokens), F.concat_ws(" ", t, F.get(tokens, i + 1)))
+            three = F.when(i + 2 < F.size(tokens), F.concat_ws(" ", t, F.get(tokens, i + 1), F.get(tokens, i + 2)))
+            return F.when(F.array_contains(none, t), F.array().cast("array<string>")).otherwise(F.array(t, two, three))
 
-    grams = F.flatten(F.transform(tokens, at))
-    return F.filter(grams, lambda g: g.isNotNull() & ~F.array_contains(none, g))
+        return F.flatten(F.transform(tokens, at))
+
+    # The tokens are bound as a variable: written out, they would be found again for each of them.
+    bound = F.flatten(F.transform(F.array(F.regexp_extract_all(line, F.lit(P.CAPITALIZED), F.lit(0))), grams))
+    return F.filter(bound, lambda g: g.isNotNull() & ~F.array_contains(none, g))
 
 
 def discover_aliases(docs: DataFrame, key: str, *, text_col: str = "text", min_count: int = 10) -> DataFrame:
@@ -71,8 +74,11 @@ def collapse_paragraph(paragraph: Column, pattern: Column, *, cap: int = 3) -> C
 def collapse_mentions(text: Column, pattern: Column, *, cap: int = 3) -> Column:
     """collapse_paragraph on each paragraph; the blank lines between paragraphs stay as they are."""
     split = F.split(F.regexp_replace(F.translate(text, "\x03", " "), r"(?U)(\n\s*\n+)", "\x03$1\x03"), "\x03", -1)
-    done = F.transform(split, lambda p, i: F.when(i % 2 == 0, collapse_paragraph(p, pattern, cap=cap)).otherwise(p))
-    return F.when(pattern.isNull(), text).otherwise(F.array_join(done, ""))
+
+    def with_pattern(bound: Column) -> Column:  # a variable: written out, the pattern would be put together for each paragraph
+        return F.array_join(F.transform(split, lambda p, i: F.when(i % 2 == 0, collapse_paragraph(p, bound, cap=cap)).otherwise(p)), "")
+
+    return F.when(pattern.isNull(), text).otherwise(F.element_at(F.transform(F.array(pattern), with_pattern), 1))
 
 
 def collapse_entities(docs: DataFrame, aliases: DataFrame, key: str, *, ticker_col: str = "ticker", text_col: str = "text", heuristic_min: int | None = 10, cap: int = 3, left_boundary: bool = False) -> DataFrame:

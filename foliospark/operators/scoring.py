@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliospark.functions import patterns as P
 from foliospark.functions.text import is_blank, norm_item
@@ -14,6 +15,7 @@ from foliospark.operators.entities import collapse_entities
 from foliospark.operators.silver import first_present
 from foliospark.operators.sentences import brand_weight, merge_fragments, split_sentences
 
+P_NAMES = ("pos", "neu", "neg")
 KEYS = ["ticker", "fiscal_year", "accession", "item"]
 
 #: A scorer gets the sentences of a batch and gives for each the probabilities (positive, neutral, negative).
@@ -37,9 +39,7 @@ def lexicon_probabilities(sentence: Column, positive=P.POSITIVE_WORDS, negative=
 
 def score_with(sentences: DataFrame, make_scorer: Callable[[], Scorer], *, batch_size: int = 32, text_col: str = "sentence") -> DataFrame:
     """sentences with pos, neu and neg from a scorer that each Python worker makes once; batches go across documents, by length."""
-    schema = sentences.schema
-    for name in ("pos", "neu", "neg"):
-        schema = schema.add(name, "double")
+    schema = StructType([*sentences.schema.fields, *(StructField(name, DoubleType()) for name in P_NAMES)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = None
@@ -50,7 +50,7 @@ def score_with(sentences: DataFrame, make_scorer: Callable[[], Scorer], *, batch
             for k in range(0, len(order), batch_size):
                 part = order[k : k + batch_size]
                 out.update(zip(part, scorer(df.loc[part, text_col].tolist())))
-            probabilities = pd.DataFrame([out[i] for i in df.index], index=df.index, columns=["pos", "neu", "neg"], dtype="float64")
+            probabilities = pd.DataFrame([out[i] for i in df.index], index=df.index, columns=list(P_NAMES), dtype="float64")
             yield pd.concat([df, probabilities], axis=1)
 
     return sentences.mapInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark.functions import patterns as P
 from foliospark.functions.text import first_n, join_nonempty, norm_label
@@ -44,7 +45,7 @@ def longest_per_label(sections: DataFrame, keys: list[str], *, order_col: str |
     sec, txt, src = (first_present(sections, n) for n in (P.SECTION_COLUMNS, P.TEXT_COLUMNS, P.SOURCE_COLUMNS))
     if not sec or not txt:
         spark = sections.sparkSession
-        return spark.createDataFrame([], sections.select(*keys).schema.add("key", "string").add("text", "string").add("src", "string"))
+        return spark.createDataFrame([], StructType([*sections.select(*keys).schema.fields, *(StructField(n, StringType()) for n in ("key", "text", "src"))]))
     df = sections.select(*keys, norm_label(F.col(sec)).alias("key"), F.coalesce(F.col(txt), F.lit("None")).alias("text"), (F.col(src).cast("string") if src else F.lit("")).alias("src"), *([F.col(order_col).alias("_ord")] if order_col else [F.lit(0).alias("_ord")]))
     df = df.where(F.col("key").isin(*P.SECTION_LABELS))
     w = W.partitionBy(*keys, "key").orderBy(F.desc(F.length("text")), "_ord", "text")
