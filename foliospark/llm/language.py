@@ -55,7 +55,7 @@ def presence(lines: list[str], known: np.ndarray | None = None) -> tuple[np.ndar
     n-grams are of lower-case letters and marks; whatever else stands between words counts as one space. known: only these
     buckets count.
     """
-    cp = _code_points("\n".join(lines).lower() if lines else "")
+    cp = _code_points("".join(f" {line}\n" for line in lines).lower())
     kind = _classes()[cp]
     is_break = cp == 10
     line = np.cumsum(is_break, dtype=np.int64) - is_break
@@ -64,7 +64,7 @@ def presence(lines: list[str], known: np.ndarray | None = None) -> tuple[np.ndar
     keep = ~space
     if len(cp):
         keep[0] = True
-        keep[1:] |= ~space[:-1]  # the first of a run of other signs stands for the run
+        keep[1:] |= ~space[:-1] | is_break[:-1]  # the first of a run of other signs stands for the run
     c = np.where(space, 32, cp)[keep].astype(np.uint64)
     line = line[keep]
     first = (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)
