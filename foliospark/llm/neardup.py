@@ -37,12 +37,12 @@ from foliospark.llm._arrow import small_batches
 from foliospark.storage import materialize
 
 SEGMENTS = 8
-FREQUENCY_BITS = 22
+FREQUENCY_BITS = 24
 MEMBER_BITS = 22
-HOT = 200
+HOT = 2000
 HOT_LEVEL = 120
 BLOCK = 2000
-TOKENS_A_PART = 4_000_000
+TOKENS_A_PART = 2_000_000
 EXPAND_UP_TO = 1000
 CHUNK = 1 << 14
 _M40 = np.uint64((1 << 40) - 1)
@@ -54,7 +54,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -272,32 +272,41 @@ def _read_classes(src: DataFrame, words: int, min_words: int) -> DataFrame:
 
 
 def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs of hot tokens: rows (token, cls, size) go to cells of two blocks of near sizes, compared there by their sketches."""
+    """Pairs of hot tokens: rows (token, cls, size, rest) go to cells of two blocks of near sizes, compared there by their sketches.
+
+    rest is the number of runs from the token on: as for other tokens, both must have as many left as the pair must share.
+    """
     step = -log(threshold)
-    hot = hot.select("token", "cls", "size").distinct().withColumn("c", F.floor(F.log("size") / F.lit(step)).cast("int"))
+    hot = hot.groupBy("token", "cls", "size").agg(F.max("rest").alias("rest")).withColumn("c", F.floor(F.log("size") / F.lit(step)).cast("int"))
     counts = hot.groupBy("token", "c").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("salts"))
     hot = hot.join(counts, ["token", "c"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
     near = counts.select("token", F.col("c").alias("c2"), F.col("salts").alias("salts2"))
-    asks = hot.select("token", "cls", "size", "c", "salt", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c2"))
-    asks = asks.join(near, ["token", "c2"]).select("token", "cls", "c", "salt", "c2", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2"))
+    asks = hot.select("token", "cls", "rest", "c", "salt", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c2"))
+    asks = asks.join(near, ["token", "c2"]).select("token", "cls", "rest", "c", "salt", "c2", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2"))
     mine, other = F.struct("c", "salt"), F.struct(F.col("c2").alias("c"), F.col("salt2").alias("salt"))
-    cells = asks.select("cls", F.xxhash64("token", F.least(mine, other), F.greatest(mine, other)).alias("cell"), (mine <= other).alias("left"), (mine >= other).alias("right"))
-    cells = cells.join(sketches, "cls").select("cell", "cls", "left", "right", "size", "sketch")
+    cells = asks.select("cls", "rest", F.xxhash64("token", F.least(mine, other), F.greatest(mine, other)).alias("cell"), (mine <= other).alias("left"), (mine >= other).alias("right"))
+    cells = cells.join(sketches, "cls").select("cell", "cls", "rest", "left", "right", "size", "sketch")
 
     def compare(table):
-        cls, sizes, raw = np.asarray(table["cls"]), np.asarray(table["size"]), table["sketch"].to_pylist()
-        left, right = np.flatnonzero(np.asarray(table["left"])), np.flatnonzero(np.asarray(table["right"]))
-        alone = len(left) == len(right) == len(cls)
-        a, b = [], []
-        for k in left:
-            ok = right[(cls[right] > cls[k]) if alone else (cls[right] != cls[k])]
-            ok = ok[np.minimum(sizes[ok], sizes[k]) >= threshold * np.maximum(sizes[ok], sizes[k]) - 1e-9]
-            if len(ok):
-                ok = ok[ring_filter([raw[k]] * len(ok), np.full(len(ok), sizes[k]), [raw[j] for j in ok], sizes[ok], threshold)]
-                a.append(np.minimum(cls[k], cls[ok]))
-                b.append(np.maximum(cls[k], cls[ok]))
-        e = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([e, *a])), "b": pa.array(np.concatenate([e, *b]))})
+        cls, sizes, raw = np.asarray(table["cls"]), np.asarray(table["size"]).astype(np.float64), table["sketch"].to_pylist()
+        rest, need = np.asarray(table["rest"]), threshold / (1 + threshold)
+        widths = np.array([len(x) for x in raw])
+        is_left, is_right = np.asarray(table["left"]), np.asarray(table["right"])
+        share = (1 - threshold) / (1 + threshold) / SEGMENTS
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for wa in np.unique(widths):
+            for wb in np.unique(widths):
+                left, right = np.flatnonzero(is_left & (widths == wa)), np.flatnonzero(is_right & (widths == wb))
+                if not len(left) or not len(right) or max(wa, wb) * threshold > 2 * min(wa, wb):
+                    continue  # no sizes of these lengths are near enough
+                folded = _bitmaps([raw[j] for j in right], min(wa, wb))
+                for k, bits in zip(left, _bitmaps([raw[j] for j in left], min(wa, wb))):
+                    ok = np.flatnonzero((np.minimum(sizes[right], sizes[k]) >= threshold * np.maximum(sizes[right], sizes[k]) - 1e-9) & (cls[right] != cls[k]) & (np.minimum(rest[right], rest[k]) >= need * (sizes[right] + sizes[k]) - 1e-6))
+                    diff = np.bitwise_count(folded[ok] ^ bits).sum(axis=2, dtype=np.int64)
+                    ok = right[ok[chains(diff, share * (sizes[right[ok]] + sizes[k]))]]
+                    a.append(np.minimum(cls[k], cls[ok]))
+                    b.append(np.maximum(cls[k], cls[ok]))
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return cells.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
@@ -329,7 +338,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 c = _class_of(runs)
                 if c in done:
                     continue
-                if len(done) < 2_000_000:
+                if len(done) < 300_000:
                     done.add(c)
                 tokens, lv, places = indexed_runs(runs, level.value, threshold)
                 tokens = tokens & _M40 | places.astype(np.uint64) << np.uint64(40)
@@ -363,20 +372,21 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         t &= _M40
         known = s < 0
         a, b, rows = group_pairs(t[~known], c[~known], s[~known], place[~known], threshold, hot)
-        names = ["kind", "a", "b", "size"]
+        names = ["kind", "a", "b", "size", "rest"]
         step = 1 << 18
         for k in range(0, len(a), step):
             n = len(a[k : k + step])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.nulls(n, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
         ht = np.concatenate([t[~known][rows], t[known]]).astype(np.int64)
         hc = np.concatenate([c[~known][rows], c[known]])
         hs = np.concatenate([s[~known][rows], -s[known]]).astype(np.int32)
+        rest = hs - (np.concatenate([place[~known][rows], place[known]]) * hs.astype(np.int64) // 255).astype(np.int32)
         for k in range(0, len(ht), step):
             n = len(ht[k : k + step])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(ht[k : k + step]), pa.array(hc[k : k + step]), pa.array(hs[k : k + step])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.array(ht[k : k + step]), pa.array(hc[k : k + step]), pa.array(hs[k : k + step]), pa.array(rest[k : k + step])], names=names)
 
     rows = src.mapInArrow(index, "part int, cls bigint, size int, tokens binary").repartitionById(parts, F.col("part"))
-    paired = materialize(rows.mapInArrow(pair, "kind tinyint, a bigint, b bigint, size int"), "neardup-candidates")
+    paired = materialize(rows.mapInArrow(pair, "kind tinyint, a bigint, b bigint, size int, rest int"), "neardup-candidates")
     candidates = paired.where("kind = 0").select("a", "b").distinct()
 
     def ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +399,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sa = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
     sb = sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
     passed = candidates.join(sa, "a").join(sb, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(ring, "a bigint, b bigint")
-    hot_rows = paired.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "size")
+    hot_rows = paired.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "size", "rest")
     if not hot_rows.isEmpty():
         passed = passed.unionByName(_hot_pairs(hot_rows, sketches, threshold, block)).distinct()
     passed = materialize(passed, "neardup-passed")
