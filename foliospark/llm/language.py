@@ -94,6 +94,36 @@ def presence(lines: list[str], known: np.ndarray | None = None) -> tuple[np.ndar
     return key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1), letters
 
 
+def _presence_in_parts(lines: list[str], known: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """presence of any number of lines of any length, at most about `most` code points at a time."""
+    if sum(map(len, lines)) <= most:
+        return presence(lines, known)
+    rows, buckets = [], []
+    letters = np.zeros(len(lines), dtype=np.int64)
+    start = 0
+    while start < len(lines):
+        stop, size = start, 0
+        while stop < len(lines) and (stop == start or size + len(lines[stop]) <= most):
+            size += len(lines[stop])
+            stop += 1
+        if stop == start + 1 and size > most:
+            line, found = lines[start], []
+            for k in range(0, len(line), most):
+                _, part, n = presence([line[k : k + most]], known)
+                found.append(part)
+                letters[start] += n[0]
+            part = np.unique(np.concatenate(found))
+            rows.append(np.full(len(part), start))
+            buckets.append(part)
+        else:
+            r, b, n = presence(lines[start:stop], known)
+            rows.append(r + start)
+            buckets.append(b)
+            letters[start:stop] = n
+        start = stop
+    return np.concatenate(rows), np.concatenate(buckets), letters
+
+
 class Model:
     """languages, and weights by n-gram bucket and language; known: the buckets that any landmark has."""
 
@@ -113,7 +143,7 @@ class Model:
 
     def scores(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(scores of each line by language, letters of each line). A line without a known n-gram scores 0 for all."""
-        rows, buckets, letters = presence(lines, self.known)
+        rows, buckets, letters = _presence_in_parts(lines, self.known)
         out = np.zeros((len(lines), len(self.languages)), dtype=np.float32)
         if len(rows):
             starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))

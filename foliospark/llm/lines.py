@@ -76,16 +76,14 @@ def remove_lines(docs: DataFrame, removed: DataFrame, *, id_col: str = "doc_id",
 def repeated_line_report(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "ticker", text_col: str = "text", min_chars: int = 30, min_docs: int = 6) -> DataFrame:
     """(ticker, line, n_docs, n_variants): each repeated line in its canonical form, its documents and its raw spellings.
 
-    The bitmaps are kept by raw spelling first and then united by canonical form.
+    The bitmaps of raw spellings are united by canonical form. Only lines over the threshold are carried as text.
     """
-    lines = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), norm_ticker(F.col(source_col)).alias("ticker"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("raw")
-    ).where("ticker is not null and doc_id is not null")
-    lines = lines.withColumn("line", canonical_line(F.col("raw"))).where(F.length("line") >= min_chars)
-    variants = lines.groupBy("ticker", "line", F.xxhash64("raw").alias("variant"), F.shiftright("doc_id", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(doc_id & 63 as int)))").alias("bits"))
-    united = variants.groupBy("ticker", "line", "word").agg(F.expr("bit_or(bits)").alias("bits"), F.collect_set("variant").alias("variants"))
-    return (
-        united.groupBy("ticker", "line")
-        .agg(F.sum(F.bit_count("bits")).alias("n_docs"), F.size(F.array_distinct(F.flatten(F.collect_list("variants")))).cast("bigint").alias("n_variants"))
-        .where(F.col("n_docs") >= min_docs)
-    )
+    often = _over_threshold(_bitmaps(_occurrences(docs, id_col, source_col, text_col, min_chars)), min_docs).select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), norm_ticker(F.col(source_col)).alias("ticker"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("raw"))
+    lines = lines.where("ticker is not null and doc_id is not null").select("doc_id", "ticker", "raw", canonical_line(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
+    lines = lines.withColumns({"k1": F.xxhash64("ticker", "line"), "k2": F.xxhash64("line", F.lit(7), "ticker"), "word": F.shiftright("doc_id", 6)})
+    lines = lines.withColumn("salt", F.pmod("word", F.lit(SALTS)).cast("int")).join(often, ["k1", "k2", "salt"], "left_semi")
+    variants = lines.groupBy("ticker", "line", F.xxhash64("raw").alias("variant"), "word").agg(F.expr("bit_or(shiftleft(1L, cast(doc_id & 63 as int)))").alias("bits"))
+    united = variants.groupBy("ticker", "line", "word").agg(F.expr("bit_or(bits)").alias("bits")).groupBy("ticker", "line").agg(F.sum(F.bit_count("bits")).alias("n_docs"))
+    spelled = variants.select("ticker", "line", "variant").distinct().groupBy("ticker", "line").agg(F.count("*").alias("n_variants"))
+    return united.join(spelled, ["ticker", "line"]).select("ticker", "line", "n_docs", "n_variants")

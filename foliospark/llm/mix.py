@@ -24,6 +24,7 @@ from foliospark.storage import materialize
 
 BUCKETS = 256
 MAX_BLOCKS = 20_000
+MAX_SOURCES = 10_000
 
 
 def norm_source(c) -> F.Column:
@@ -78,7 +79,9 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
 
 
 def _plan(docs: DataFrame, targets: DataFrame, text_col: str, tokenizer: str, size: int | None) -> tuple[DataFrame, dict[str, int], dict[str, tuple[float, int]], dict[str, float]]:
-    rows = targets.select(norm_source(F.col("source")).alias("s"), "target_share", "max_repeats").where("s is not null and target_share is not null").groupBy("s").agg(F.sum("target_share"), F.max(F.coalesce("max_repeats", F.lit(1)))).limit(10_000).collect()
+    rows = targets.select(norm_source(F.col("source")).alias("s"), "target_share", "max_repeats").where("s is not null and target_share is not null").groupBy("s").agg(F.sum("target_share"), F.max(F.coalesce("max_repeats", F.lit(1)))).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources with a target")
     wanted = {r[0]: (float(r[1]), int(r[2])) for r in rows}
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), norm_source(F.col("source")).alias("s"), F.col(text_col).alias("text")).where(F.col("s").isin(list(wanted)) & F.col("doc_id").isNotNull())
     counted = materialize(count_tokens(named, "doc_id", "s", text_col="text", tokenizer=tokenizer), "mix-counts")

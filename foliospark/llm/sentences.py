@@ -53,7 +53,7 @@ _ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?(?:\d{1,3}|[A-Za-
 _BRACKET_ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?\d{1,3}[.)]\s)")
 _HEADING = re.compile(r"(?:item|part)\s+[\dIVX]+\S*(?:\s|$)", re.IGNORECASE)
 _HEAD_NUMBER = re.compile(r"(?:item|part)\s+\S{1,5}$", re.IGNORECASE)
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"\S{1,40}")
 
 
 def build_trie(words: list[tuple[str, str]]) -> dict:
@@ -187,7 +187,7 @@ def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: boo
         head = text[max(begin, at - 12) : at]
         if _HEAD_NUMBER.search(head):
             return False
-        if _ITEM.fullmatch(text[begin : at + 1] + " "):
+        if at - begin < 8 and _ITEM.fullmatch(text[begin : at + 1] + " "):
             return False
         if prev.isdigit() and (at - 3 < begin or not text[at - 3].isdigit() or not text[at - 2].isdigit()):
             word = _WORD.match(text, after)
@@ -212,6 +212,7 @@ def ends_of(text: str) -> list[int]:
             continue
         unit = begin
         stack: list[tuple[str, int]] = []
+        shuts: dict[str, int] = {}  # the next place of each closing sign, so that none is looked for twice
         skip = -1
         for m in (_THAI_EVENT if thai else _EVENT).finditer(text, begin, seg_end):
             at = m.start()
@@ -219,7 +220,7 @@ def ends_of(text: str) -> list[int]:
                 continue
             c = text[at]
             if c.isspace():  # Thai
-                if not stack and at > unit and not _ITEM.fullmatch(text[unit:at] + " "):
+                if not stack and at > unit and not (at - unit < 8 and _ITEM.fullmatch(text[unit:at] + " ")):
                     out.append(at)
                     unit = m.end()
                 continue
@@ -234,7 +235,9 @@ def ends_of(text: str) -> list[int]:
                 p = at + 1
             elif c in PAIRS:
                 close = PAIRS[c]
-                shut = text.find(close, at + 1, seg_end)
+                shut = shuts.get(close, 0)
+                if 0 <= shut <= at:
+                    shut = shuts[close] = text.find(close, at + 1, seg_end)
                 if shut > 0 and c != close:
                     again = text.find(c, at + 1, shut)
                     if again > 0 and c not in "(（[":
@@ -284,8 +287,8 @@ def ends_of(text: str) -> list[int]:
                                 continue
                         elif text[at - 1].isupper() and not text[at - 2 : at].isupper() and not text[max(begin, at - 3) : at - 1].endswith("."):
                             continue
-                    token_start = max(text.rfind(" ", begin, at), text.rfind("\n", begin, at)) + 1
-                    token = text[max(token_start, begin) : at]
+                    near = max(begin, at - 200)
+                    token = text[max(text.rfind(" ", near, at) + 1, text.rfind("\n", near, at) + 1, near) : at]
                     if "/" in token or "@" in token or token.startswith("www."):
                         continue
                 if c == "." and last == "." and p - at == 1 and not _stop_ends(text, at, after, seg_end, unit, spaced):
