@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -36,39 +35,54 @@ def covered_tickers(summary: DataFrame, *, min_years: int = 4) -> DataFrame:
     return summary.where(F.col("years_ok_1a7") >= min_years).select("ticker")
 
 
-def longest_per_label(sections: DataFrame, keys: list[str], *, order_col: str | None = None) -> DataFrame:
-    """One row for each of keys and section key: the longest text, of equal ones the first by order_col or by text.
+def _labelled(sections: DataFrame, keys: list[str], order_col: str | None) -> DataFrame | None:
+    """(keys, key, row): each section under its key, row ordered so that the least one is the longest text.
 
-    The section and text columns are the first present ones of the known names; a null text counts as the text 'None'.
-    Without a section or a text column there is nothing to choose from: an empty result.
+    Of equal lengths the first by order_col counts, then the first by text. None without a section or a text column.
     """
     sec, txt, src = (first_present(sections, n) for n in (P.SECTION_COLUMNS, P.TEXT_COLUMNS, P.SOURCE_COLUMNS))
     if not sec or not txt:
-        spark = sections.sparkSession
-        return spark.createDataFrame([], StructType([*sections.select(*keys).schema.fields, *(StructField(n, StringType()) for n in ("key", "text", "src"))]))
-    df = sections.select(*keys, norm_label(F.col(sec)).alias("key"), F.coalesce(F.col(txt), F.lit("None")).alias("text"), (F.col(src).cast("string") if src else F.lit("")).alias("src"), *([F.col(order_col).alias("_ord")] if order_col else [F.lit(0).alias("_ord")]))
-    df = df.where(F.col("key").isin(*P.SECTION_LABELS))
-    w = W.partitionBy(*keys, "key").orderBy(F.desc(F.length("text")), "_ord", "text")
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_ord")
+        return None
+    text = F.coalesce(F.col(txt), F.lit("None"))
+    order = F.col(order_col) if order_col else F.lit(0)
+    row = F.struct((-F.length(text)).alias("n"), order.alias("ord"), text.alias("text"), (F.col(src).cast("string") if src else F.lit("")).alias("src"))
+    return sections.select(*keys, norm_label(F.col(sec)).alias("key"), row.alias("row")).where(F.col("key").isin(*P.SECTION_LABELS))
+
+
+def _none(sections: DataFrame, keys: list[str], more: list[StructField]) -> DataFrame:
+    return sections.sparkSession.createDataFrame([], StructType([*sections.select(*keys).schema.fields, *more]))
+
+
+def longest_per_label(sections: DataFrame, keys: list[str], *, order_col: str | None = None) -> DataFrame:
+    """(keys, key, text, src): for each of keys and section key the longest text, of equal ones the first by order_col or by text.
+
+    The section and text columns are the first present ones of the known names; a null text counts as the text 'None'.
+    Without a section or a text column there is nothing to choose from: an empty result. Each task sends on one text a group.
+    """
+    rows = _labelled(sections, keys, order_col)
+    if rows is None:
+        return _none(sections, keys, [StructField(n, StringType()) for n in ("key", "text", "src")])
+    return rows.groupBy(*keys, "key").agg(F.min("row").alias("r")).select(*keys, "key", "r.text", "r.src")
 
 
 def compose(sections: DataFrame, keys: list[str], *, carry_1: int = 800, carry_7a: int = 800, min_chars: int = 800, order_col: str | None = None) -> DataFrame:
     """(keys, section, text, text_len, src, has_1, has_1A, has_7, has_7A): sections 1A and 7 with the head of 1 before and of 7A after.
 
-    A composed text under min_chars is given up for the section alone; nothing is dropped. One shuffle by keys and label, one
-    by keys; the four sections of a report meet by conditional aggregation.
+    A composed text under min_chars is given up for the section alone; nothing is dropped. The four sections of a report meet
+    by one conditional aggregation, which is the only shuffle; each task sends on one text for each report and label.
     """
-    best = longest_per_label(sections, keys, order_col=order_col)
-    at = lambda col, key: F.max(F.when(F.col("key") == key, F.col(col)))
-    wide = best.groupBy(*keys).agg(*[at("text", k).alias(f"t_{k}") for k in P.SECTION_LABELS], *[at("src", k).alias(f"s_{k}") for k in ("1A", "7")])
-    head, tail = first_n(F.col("t_1"), carry_1), first_n(F.col("t_7A"), carry_7a)
+    rows = _labelled(sections, keys, order_col)
+    if rows is None:
+        return _none(sections, keys, [StructField(n, StringType()) for n in ("section", "text", "src")])
+    wide = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("key") == k, F.col("row"))).alias(f"r_{k}") for k in P.SECTION_LABELS])
+    head, tail = first_n(F.col("r_1.text"), carry_1), first_n(F.col("r_7A.text"), carry_7a)
 
     def row(key: str) -> Column:
-        main = F.col(f"t_{key}")
+        main = F.col(f"r_{key}.text")
         joined = join_nonempty([head, main, tail], "\n\n")
-        return F.struct(F.lit(key).alias("section"), F.when(F.length(joined) < min_chars, main).otherwise(joined).alias("text"), F.coalesce(F.col(f"s_{key}"), F.lit("")).alias("src"), main.isNotNull().alias("there"))
+        return F.struct(F.lit(key).alias("section"), F.when(F.length(joined) < min_chars, main).otherwise(joined).alias("text"), F.coalesce(F.col(f"r_{key}.src"), F.lit("")).alias("src"), main.isNotNull().alias("there"))
 
-    flags = [F.col(f"t_{k}").isNotNull().cast("int").alias(f"has_{k}") for k in P.SECTION_LABELS]
+    flags = [F.col(f"r_{k}").isNotNull().cast("int").alias(f"has_{k}") for k in P.SECTION_LABELS]
     out = wide.select(*keys, *flags, F.explode(F.array(row("1A"), row("7"))).alias("r")).where("r.there")
     return out.select(*keys, "r.section", "r.text", F.length("r.text").alias("text_len"), "r.src", *[f"has_{k}" for k in P.SECTION_LABELS])
 
