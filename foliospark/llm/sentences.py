@@ -35,8 +35,8 @@ BEFORE_FIGURE = "no nos jan feb mar apr jun jul aug sep sept oct nov dec note it
 MAY_END = "inc corp co ltd ltda llc plc gmbh s.a al etc usw jr u.s u.k u.s.a p.m a.m uu др г д руб ft".split()
 #: Words that may begin a sentence after an abbreviation in a text written in capitals.
 STARTERS = frozenset(
-    "a absent after an as at because beginning by cash compared could despite details during each excluding following for forward-looking given if in is it "
-    "management messrs most ms net no nothing of on our outside over see since subject the this three throughout to two under we who why with".split()
+    "a absent after an as at because beginning by cash compared despite details during each excluding following for forward-looking given if in is it "
+    "dr copyright details four batch read ratings share subscribe unaudited printed could management messrs most ms net no nothing of on our outside over see since subject the this three throughout to two under we who why with".split()
 )
 MONTHS_DE = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
