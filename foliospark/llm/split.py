@@ -135,12 +135,21 @@ def split_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "doc_id bigint, range_no int, k int, start_pos bigint, end_pos bigint" + ", text string" * with_text
     columns = ["doc_id", "piece_no", "start_pos", "end_pos", *(["text"] if with_text else [])]
-    one = src.where((n > limit) & (n <= span)).select("doc_id", F.lit(0).alias("range_no"), F.lit(False).alias("more"), F.col("text").alias("part")).mapInArrow(run, schema)
-    one = one.withColumnRenamed("k", "piece_no").select(*columns)
-    long = src.where(n > span).withColumn("n", n).select("doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {span} as int)"))).alias("range_no"))
     part = F.expr(f"substring(text, cast(greatest(cast(range_no as bigint) * {span} - {halo}, 0) + 1 as int), {span + 2 * halo})")
-    ranges = long.select("doc_id", "range_no", (F.col("n") > F.lit(span) * (F.col("range_no") + 1)).alias("more"), part.alias("part")).repartition("doc_id", "range_no")
-    return short.unionByName(one).unionByName(_number(ranges.mapInArrow(run, schema), ["doc_id"]).select(*columns))
+
+    def in_ranges(df: DataFrame) -> DataFrame:
+        df = df.withColumn("n", n).select("doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {span} as int)"))).alias("range_no"))
+        return df.select("doc_id", "range_no", (F.col("n") > F.lit(span) * (F.col("range_no") + 1)).alias("more"), F.when(F.col("n") <= span, F.col("text")).otherwise(part).alias("part"))
+
+    if not with_text:
+        # Offsets are small: one scan, and one window numbers the pieces of all texts.
+        cut = in_ranges(src.where(n > limit)).mapInArrow(run, schema)
+        number = F.row_number().over(W.partitionBy("doc_id").orderBy("range_no", "k")) - 1
+        return short.unionByName(cut.withColumn("piece_no", number).select(*columns))
+    # Pieces of texts within one range count from 0 already; only those of longer texts are shuffled.
+    one = in_ranges(src.where((n > limit) & (n <= span))).mapInArrow(run, schema).withColumnRenamed("k", "piece_no").select(*columns)
+    long = in_ranges(src.where(n > span)).repartition("doc_id", "range_no").mapInArrow(run, schema)
+    return short.unionByName(one).unionByName(_number(long, ["doc_id"]).select(*columns))
 
 
 def split_files(spark: SparkSession, path: str, *, limit: int = LIMIT, overlap: int = OVERLAP, span: int = 8 << 20, glob: str | None = None) -> DataFrame:
