@@ -72,8 +72,8 @@ def match_starts(text: Column, pattern: str) -> Column:
     clean = F.translate(text, "\x01", " ")
     lengths = F.transform(F.split(F.regexp_replace(clean, pattern, "\x01$1"), "\x01", -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    walked = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")))
-    return F.slice(walked["all"], 1, F.size(lengths) - 1)
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all"))
+    return F.aggregate(lengths, start, step, lambda acc: F.slice(acc["all"], 1, F.greatest(F.size(acc["all"]) - 1, F.lit(0))))
 
 
 def summarize(c: Column, n: int = 240) -> Column:

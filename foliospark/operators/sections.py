@@ -54,9 +54,11 @@ def _any(text: Column, found: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in found])
 
 
-def content_score(text: Column, marks: Column, start: Column, end: Column, label: str) -> Column:
-    """How much the span looks like the section: length, anchors, its opening; less for mentions and lists of items."""
-    window = _cut(text, start, F.least(F.lit(6000), end - start))
+def content_score(text: Column, marks: Column, start: Column, window: Column, label: str) -> Column:
+    """How much a span looks like the section: length, anchors, its opening; less for mentions and lists of items.
+
+    window is the span's text, no more than its first 6,000 code points.
+    """
     score = F.floor(F.length(window) / 50).cast("int")
     for anchor in P.ANCHORS[label]:
         score = score + F.when(window.rlike(anchor), 200).otherwise(0)
@@ -90,15 +92,20 @@ def candidate_starts(text: Column, marks: Column, label: str) -> Column:
 
 def candidates(text: Column, marks: Column, label: str) -> Column:
     """array<struct<score, len, ord, start, end, anchored>> of the candidate spans, in their order."""
-    starts = candidate_starts(text, marks, label)
     first = ("(?i)\\bBusiness\\b",) if label == "1" else P.ANCHORS[label]
 
-    def one(p: Column, i: Column) -> Column:
-        end = ender(text, marks, p, label)
-        anchored = _any(_cut(text, p, F.least(F.lit(5000), end - p)), first) if label in ("1", "7") else F.lit(False)
-        return F.struct(content_score(text, marks, p, end, label).alias("score"), (end - p).alias("len"), i.alias("ord"), p.alias("start"), end.alias("end"), anchored.alias("anchored"))
+    # Ends and windows are bound in a step of their own: written out in the score, they would be made again for each anchor.
+    def span(p: Column, i: Column) -> Column:
+        return F.struct(p.alias("start"), ender(text, marks, p, label).alias("end"), i.alias("ord"))
+
+    def with_window(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord"), _cut(text, s["start"], F.least(F.lit(6000), s["end"] - s["start"])).alias("w"))
+
+    def scored(s: Column) -> Column:
+        anchored = _any(F.substring(s["w"], 1, 5000), first) if label in ("1", "7") else F.lit(False)
+        return F.struct(content_score(text, marks, s["start"], s["w"], label).alias("score"), (s["end"] - s["start"]).alias("len"), s["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), anchored.alias("anchored"))
 
-    return F.transform(starts, one)
+    return F.transform(F.transform(F.transform(candidate_starts(text, marks, label), span), with_window), scored)
 
 
 def choose(found: Column, label: str, min_chars: int) -> Column:
