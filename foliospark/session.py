@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
         return
     here = Path(__file__).resolve().parent
     if here.is_dir():  # not where the package itself comes from a zip
-        path = os.path.join(tempfile.mkdtemp(prefix="foliospark-"), "foliospark.zip")
+        folder = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "foliospark.zip")
         with zipfile.ZipFile(path, "w") as z:
             for f in sorted(here.rglob("*.py")):
                 z.write(f, Path("foliospark") / f.relative_to(here))
