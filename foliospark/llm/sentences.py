@@ -53,7 +53,9 @@ _ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?(?:\d{1,3}|[A-Za-
 _BRACKET_ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?\d{1,3}[.)]\s)")
 _HEADING = re.compile(r"(?:item|part)\s+[\dIVX]+\S*(?:\s|$)", re.IGNORECASE)
 _HEAD_NUMBER = re.compile(r"(?:item|part)\s+\S{1,5}$", re.IGNORECASE)
-_WORD = re.compile(r"\S{1,40}")
+#: German ordinals, as in "ab dem 1. Quartal".
+_ORDINAL = re.compile(r"(?<!\w)(?:dem|den|der|des|am|im|vom|zum|zur|beim)\s+\d{1,2}$", re.IGNORECASE)
+_WORD = re.compile(r"\S{1,240}")
 
 
 def build_trie(words: list[tuple[str, str]]) -> dict:
@@ -88,6 +90,14 @@ def _is_row(line: str) -> bool:
     return line.count("|") >= 2 or line.strip().count("\t") >= 2
 
 
+def _is_title(line: str) -> bool:
+    """A line of words that all begin with a capital but for a few small ones, and are not all capitals."""
+    words = line.split()
+    if len(words) < 3 or line.isupper():
+        return False
+    return not any(w[-1] in ENDS for w in words) and all(w[0].isupper() or w in ("of", "and", "the", "for", "in", "to") for w in words)
+
+
 def pieces(text: str) -> list[tuple[int, int]]:
     """[start, end) of what the layout sets apart; line breaks inside hard-wrapped paragraphs do not part it."""
     lines = [m.span() for m in _LINE.finditer(text)]
@@ -125,7 +135,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
             continue
         candidates += 1
         full = len(a) + 1 + len(b.split(None, 1)[0]) > 55
-        if b[0].islower() or (full and not b[0].isupper()) or (full and len(a) <= 85 and len(b) <= 130 and last.islower()):
+        if b[0].islower() or (full and not b[0].isupper()) or (full and len(a) <= 85 and len(b) <= 130 and (last.islower() or a.isupper() and b.isupper())):
             sure += 1
     if sure >= 1 and sure >= 0.25 * candidates:
         for k in range(1, len(wide)):
@@ -133,7 +143,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
                 continue
             _, _, a, row_a, _ = wide[k - 1]
             _, _, b, row_b, _ = wide[k]
-            if row_a or row_b or _HEADING.match(a):
+            if row_a or row_b or _HEADING.match(a) or (not b[0].islower() and _is_title(a)):
                 continue
             if b[0].islower() and a[-1] not in ENDS:
                 joins[k] = True
@@ -164,6 +174,14 @@ def _begins(text: str, i: int, end: int) -> bool:
     return c not in ",;:.!?)]}%،؛"
 
 
+def _goes_on_in_capitals(text: str, at: int, after: int) -> bool:
+    """In a text in capitals: whether the next word is one that begins no sentence."""
+    word = _WORD.match(text, after)
+    w = word.group().strip(".,;:!?\"”“’'()") if word else ""
+    before = re.search(r"[^\W\d_]{2}[^\w]*$", text[max(0, at - 8) : at])
+    return bool(before) and before.group()[:2].isupper() and len(w) > 1 and w.isupper() and w.lower() not in STARTERS
+
+
 def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: bool) -> bool:
     """Whether the full stop at `at` ends a sentence; after: where the next sign stands."""
     kind = abbreviation(text, at, begin)
@@ -174,9 +192,10 @@ def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: boo
         return False
     if kind == "may":
         word = _WORD.match(text, after)
+        capitals = text[at - 1].isupper() and text[max(begin, at - 2)].isupper()
         if word:
             w = word.group().strip(".,;:!?\"”“’'()")
-            if len(w) > 1 and w.isupper() and w.lower() not in STARTERS:
+            if (len(w) > 1 or capitals) and w.isupper() and w.lower() not in STARTERS:
                 return False
         return True
     prev = text[at - 1] if at > begin else ""
@@ -189,6 +208,8 @@ def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: boo
             return False
         if at - begin < 8 and _ITEM.fullmatch(text[begin : at + 1] + " "):
             return False
+        if _ORDINAL.search(head):
+            return False
         if prev.isdigit() and (at - 3 < begin or not text[at - 3].isdigit() or not text[at - 2].isdigit()):
             word = _WORD.match(text, after)
             if word and word.group().strip(".,;").lower() in MONTHS_DE:
@@ -269,10 +290,12 @@ def ends_of(text: str) -> list[int]:
             if c in SURE:
                 pass
             elif c in CLOSERS:
-                if not spaced or not _begins(text, after, seg_end):
+                if not spaced or not _begins(text, after, seg_end) or _goes_on_in_capitals(text, at, after):
                     continue
             else:
                 last = text[p - 1]
+                if (p - at >= 3 or c == "…") and at > begin and text[at - 1].isspace() and _goes_on_in_capitals(text, at, after):
+                    continue
                 if not _begins(text, after, seg_end):
                     continue
                 if not spaced:
@@ -288,8 +311,9 @@ def ends_of(text: str) -> list[int]:
                         elif text[at - 1].isupper() and not text[at - 2 : at].isupper() and not text[max(begin, at - 3) : at - 1].endswith("."):
                             continue
                     near = max(begin, at - 200)
-                    token = text[max(text.rfind(" ", near, at) + 1, text.rfind("\n", near, at) + 1, near) : at]
-                    if "/" in token or "@" in token or token.startswith("www."):
+                    word = _WORD.match(text, max(text.rfind(" ", near, at) + 1, text.rfind("\n", near, at) + 1, near))
+                    run = word.group() if word else ""
+                    if "/" in run or "@" in run or run.lower().startswith("www."):
                         continue
                 if c == "." and last == "." and p - at == 1 and not _stop_ends(text, at, after, seg_end, unit, spaced):
                     continue

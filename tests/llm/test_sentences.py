@@ -22,7 +22,7 @@ CASES = [
     ['"We held it. Nobody left," said M. M. Vel, our officer.', "He wrote: \"It stays.\"", "Our unit closed.", "(The plant was shut.)", "It was (approx. 223 sq. ft.) small."],
     ["Three apply: (i) consent; (ii) cover of $12.8 million; and (iii) an audit.", "Net loss."],
     # other languages
-    ["Das gilt u. a. für Mor usw.", "Die Bank prüfte z. B. Pressen bzw. Lizenzen um ca. 12,5 Prozent auf 71,0 Mio. Euro.", "Seit dem 8. März gilt es.", "„Wir warten. Wir zahlen später“, sagte Dar."],
+    ["Das gilt u. a. für Mor usw.", "Die Bank prüfte z. B. Pressen bzw. Lizenzen um ca. 12,5 Prozent auf 71,0 Mio. Euro.", "Seit dem 8. März gilt es.", "Ab dem 1. Quartal stieg er um 5.", "„Wir warten. Wir zahlen später“, sagte Dar."],
     ["Cela vise X, ses filiales, etc.", "L'usine a payé env. 8,5 millions !", "Pourquoi ?", "« Nous attendons. Rien ne presse », a dit Mme Tas."],
     ["¡Llegó a 5,2 puntos!", "¿Por qué?", "Véase el anexo 4.7, pág. 779.", "Fuera de EE. UU., la Sra. Dar pagó, p. ej., poco."],
     ["Это касается складов и т. д.", "В 2001 г. завод, т. е. общество, купил до 5,1 млн руб. в год.", "«Мы ждём. Спешить некуда», — сказал директор."],
@@ -49,6 +49,15 @@ def test_layout():
     assert units("terms were unchanged.At year end, we left.See www.acme.example/a.html now") == ["terms were unchanged.", "At year end, we left.", "See www.acme.example/a.html now"]
 
 
+def test_capitals_go_on_after_quotations_and_omissions():
+    assert units('IT ENDS. "IS THE BEACON SAFE?" ASKED MS. NYR OF THE BOARD. THE FREIGHT ... WAS MATERIAL FOR 2 WEEKS. SEE BELOW.') == ["IT ENDS.", '"IS THE BEACON SAFE?" ASKED MS. NYR OF THE BOARD.', "THE FREIGHT ... WAS MATERIAL FOR 2 WEEKS.", "SEE BELOW."]
+
+
+def test_titles_above_a_wrapped_paragraph():
+    text = "Legacy Toothbrush And Vaccine Handset of Jasombrafen\n35.0% of the revenue in the year came from the north, and\nthe rest of it came from leases of the southern ports\nand of the plants."
+    assert [u.replace("\n", " ") for u in units(text)] == ["Legacy Toothbrush And Vaccine Handset of Jasombrafen", "35.0% of the revenue in the year came from the north, and the rest of it came from leases of the southern ports and of the plants."]
+
+
 def test_capitals():
     assert units("THE AUDITOR OF ACME INC. EXPANDED THE U.S. MARKET. TO DATE, IT HELD.") == ["THE AUDITOR OF ACME INC. EXPANDED THE U.S. MARKET.", "TO DATE, IT HELD."]
 
