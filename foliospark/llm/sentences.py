@@ -131,7 +131,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
         if row_a or row_b or a[-1] in ENDS or a[-1] in CLOSERS or not 40 <= len(a) <= 100:
             continue
         last = a.rsplit(None, 1)[-1]
-        if _BRACKET_ITEM.match(b) or _THAI.search(a[-3:]) or _HEADING.match(a) or "/" in last or "@" in last:
+        if _BRACKET_ITEM.match(b) or len(b.split(None, 1)[0]) > 60 or _THAI.search(a[-12:]) or _HEADING.match(a) or "/" in last or "@" in last:
             continue
         candidates += 1
         full = len(a) + 1 + len(b.split(None, 1)[0]) > 55
@@ -148,7 +148,8 @@ def pieces(text: str) -> list[tuple[int, int]]:
             if b[0].islower() and a[-1] not in ENDS:
                 joins[k] = True
                 continue
-            if len(a) < 20 or len(a) + 1 + len(b.split(None, 1)[0]) <= 52 or len(a) > 130:
+            word = len(b.split(None, 1)[0])
+            if len(a) < 20 or len(a) + 1 + word <= 52 or len(a) > 130 or word > 60:
                 continue
             if _BRACKET_ITEM.match(b) and a[-1] in ENDS:
                 continue
