@@ -6,9 +6,10 @@ into a ring of segments by hash. If the whole differences stay within the whole
 round the ring, the differences of every chain of consecutive segments stay within as many shares of the budget (the
 cycle lemma behind the pigeonring principle). This gives, without loss:
 
-1. Candidates. Among the first n - ceil(t * n) + 1 runs of either set, in one common order with the rare ones first, a pair
-   shares a run, and the first run they share leaves either set long enough. Only these are indexed. The order comes from a frequency sketch of fixed size; a rough sketch costs time,
-   never pairs. (Taking the first runs of every segment by itself, as the ring would allow, indexes the runs of boilerplate
+1. Candidates. Among the first n - ceil(t * n) + c runs of either set, in one common order with the rare ones first, a pair
+   shares c runs, and from each of them on either set is long enough for what must still come. Only these are indexed, and
+   pairs that share fewer are none. The order comes from a frequency sketch of fixed size; a rough one costs time, never
+   pairs. (Taking the first runs of every segment by itself, as the ring would allow, indexes the runs of boilerplate
    wherever they crowd a segment; over the whole set they come last.)
 2. Chains. Each set has a sketch: for each segment a bitmap of its hashed runs, in length proportional to the set. The bits in
    which two bitmaps differ are never more than the runs. A candidate without a chain round the ring, of which every part of
@@ -40,6 +41,8 @@ SEGMENTS = 8
 FREQUENCY_BITS = 24
 MEMBER_BITS = 22
 HOT = 2000
+#: Runs that a pair must share among the indexed ones (fewer only where it need not share as many at all).
+AGREE = 3
 HOT_LEVEL = 120
 BLOCK = 2000
 TOKENS_A_PART = 2_000_000
@@ -144,7 +147,7 @@ def indexed_runs(runs: np.ndarray, level: np.ndarray, threshold: float) -> tuple
     places are those in the order as 255ths of the set, rounded down.
     """
     lv = level[(runs & np.uint64((1 << FREQUENCY_BITS) - 1)).astype(np.int64)]
-    order = np.lexsort((runs, lv))[: len(runs) - _need(len(runs), threshold) + 1]
+    order = np.lexsort((runs, lv))[: len(runs) - _need(len(runs), threshold) + AGREE]
     return runs[order], lv[order], (np.arange(len(order)) * 255 // len(runs)).astype(np.uint8)
 
 
@@ -160,15 +163,16 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class a, class b, positions of hot rows): pairs a < b of different classes that may have this token as their first in common.
+def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class a, class b, tokens they share, positions of hot rows): pairs a < b of different classes.
 
-    Their sizes must be near enough, and from the token on either set must have as many runs left as the pair must share.
-    Tokens of more than `hot` classes give no pairs; their rows are named instead.
+    Their sizes must be near enough, and from the token on either set must have as many runs left as the pair must share, but
+    for the AGREE - 1 that may have come before. Pairs that need not share AGREE runs count as if they did. Tokens of more than
+    `hot` classes give no pairs; their rows are named instead.
     """
+    e = np.zeros(0, np.int64)
     if not len(tokens):
-        e = np.zeros(0, np.int64)
-        return e, e, e
+        return e, e, e, e
     order = np.lexsort((classes, tokens))
     t, c = tokens[order], classes[order]
     fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
@@ -184,7 +188,7 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, plac
     keep = ~is_hot & (count[group] > 1)
     t, c, s, left = t[keep], c[keep], s[keep], left[keep]
     share = threshold / (1 + threshold)
-    out_a, out_b = [], []
+    out_a, out_b, out_n = [], [], []
     at = np.arange(len(t))
     d = 1
     while True:
@@ -192,16 +196,23 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, plac
         at = at[(t[at] == t[at + d]) & (s[at] >= threshold * s[at + d] - 1e-9)]  # sizes ascend: once too far, always too far
         if not len(at):
             break
-        near = at[np.minimum(left[at], left[at + d]) >= share * (s[at] + s[at + d]) - 1e-6]
+        must = share * (s[at] + s[at + d]) - 1e-6
+        ok = np.minimum(left[at], left[at + d]) >= must - (AGREE - 1)
+        near, must = at[ok], must[ok]
         x, y = c[near], c[near + d]
+        out_n.append(np.where(np.ceil(must) < AGREE, AGREE, 1))
         out_a.append(np.minimum(x, y))
         out_b.append(np.maximum(x, y))
         d += 1
     if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), hot_rows
-    pair = np.rec.fromarrays([np.concatenate(out_a), np.concatenate(out_b)])
-    pair = np.unique(pair)
-    return np.asarray(pair.f0), np.asarray(pair.f1), hot_rows
+        return e, e, e, hot_rows
+    pa_, pb, n = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
+    order = np.lexsort((pb, pa_))
+    pa_, pb, n = pa_[order], pb[order], n[order]
+    if not len(pa_):
+        return e, e, e, hot_rows
+    first = np.flatnonzero(np.concatenate([[True], (pa_[1:] != pa_[:-1]) | (pb[1:] != pb[:-1])]))
+    return pa_[first], pb[first], np.add.reduceat(n, first), hot_rows
 
 
 def _flags(rows: DataFrame, width: int) -> np.ndarray:
@@ -274,7 +285,8 @@ def _read_classes(src: DataFrame, words: int, min_words: int) -> DataFrame:
 def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int) -> DataFrame:
     """Pairs of hot tokens: rows (token, cls, size, rest) go to cells of two blocks of near sizes, compared there by their sketches.
 
-    rest is the number of runs from the token on: as for other tokens, both must have as many left as the pair must share.
+    rest is the number of runs from the token on: as for other tokens, both must have as many left as the pair must still
+    share. One hot token in common is enough here: a pair with fewer than AGREE others would not be found by those.
     """
     step = -log(threshold)
     hot = hot.groupBy("token", "cls", "size").agg(F.max("rest").alias("rest")).withColumn("c", F.floor(F.log("size") / F.lit(step)).cast("int"))
@@ -301,7 +313,7 @@ def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int
                     continue  # no sizes of these lengths are near enough
                 folded = _bitmaps([raw[j] for j in right], min(wa, wb))
                 for k, bits in zip(left, _bitmaps([raw[j] for j in left], min(wa, wb))):
-                    ok = np.flatnonzero((np.minimum(sizes[right], sizes[k]) >= threshold * np.maximum(sizes[right], sizes[k]) - 1e-9) & (cls[right] != cls[k]) & (np.minimum(rest[right], rest[k]) >= need * (sizes[right] + sizes[k]) - 1e-6))
+                    ok = np.flatnonzero((np.minimum(sizes[right], sizes[k]) >= threshold * np.maximum(sizes[right], sizes[k]) - 1e-9) & (cls[right] != cls[k]) & (np.minimum(rest[right], rest[k]) >= need * (sizes[right] + sizes[k]) - (AGREE - 1) - 1e-6))
                     diff = np.bitwise_count(folded[ok] ^ bits).sum(axis=2, dtype=np.int64)
                     ok = right[ok[chains(diff, share * (sizes[right[ok]] + sizes[k]))]]
                     a.append(np.minimum(cls[k], cls[ok]))
@@ -324,7 +336,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = documents.select("cls", "doc_id").distinct()
     sketches = documents.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "sketch")).alias("s")).select("cls", "s.size", "s.sketch")
     level = spark.sparkContext.broadcast(_levels(read.where("kind = 1").select("bucket", "sketch")))
-    asked = documents.agg(F.coalesce(F.sum(F.col("size") * (1 - threshold) + 1), F.lit(0))).head()[0]
+    asked = documents.agg(F.coalesce(F.sum(F.col("size") * (1 - threshold) + AGREE), F.lit(0))).head()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(asked // TOKENS_A_PART) + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,12 +383,12 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         place = (t >> np.uint64(40)).astype(np.int64)
         t &= _M40
         known = s < 0
-        a, b, rows = group_pairs(t[~known], c[~known], s[~known], place[~known], threshold, hot)
+        a, b, shared, rows = group_pairs(t[~known], c[~known], s[~known], place[~known], threshold, hot)
         names = ["kind", "a", "b", "size", "rest"]
         step = 1 << 18
         for k in range(0, len(a), step):
             n = len(a[k : k + step])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.array(shared[k : k + step].astype(np.int32)), pa.nulls(n, pa.int32())], names=names)
         ht = np.concatenate([t[~known][rows], t[known]]).astype(np.int64)
         hc = np.concatenate([c[~known][rows], c[known]])
         hs = np.concatenate([s[~known][rows], -s[known]]).astype(np.int32)
@@ -387,7 +399,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     rows = src.mapInArrow(index, "part int, cls bigint, size int, tokens binary").repartitionById(parts, F.col("part"))
     paired = materialize(rows.mapInArrow(pair, "kind tinyint, a bigint, b bigint, size int, rest int"), "neardup-candidates")
-    candidates = paired.where("kind = 0").select("a", "b").distinct()
+    candidates = paired.where("kind = 0").groupBy("a", "b").agg(F.sum("size").alias("shared")).where(F.col("shared") >= AGREE).select("a", "b")
 
     def ring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
