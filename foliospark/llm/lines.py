@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import collapse_ws, norm_ticker
+from foliospark.storage import materialize
 
 SALTS = 16
 
@@ -55,7 +56,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", source_col: str =
     document; an empty table gives no rows. Other columns are not read.
     """
     occurrences = _occurrences(docs, id_col, source_col, text_col, min_chars)
-    bitmaps = _bitmaps(occurrences)
+    bitmaps = materialize(_bitmaps(occurrences), "lines-bitmaps")
     often = _over_threshold(bitmaps, min_docs).select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     kept = bitmaps.withColumn("salt", F.pmod("word", F.lit(SALTS)).cast("int")).join(often, ["k1", "k2", "salt"], "left_semi")
     kept = kept.select("k1", "k2", "word", "bits")
