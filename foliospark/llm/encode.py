@@ -52,8 +52,8 @@ def decode_ids(ids: list[int], path: str = BYTE_BPE_50K) -> str:
     return b"".join(table[i] for i in ids).decode("utf-8", "replace")
 
 
-def _encode(texts: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+def _encode(texts: list[str], path: str) -> list:
+    return load(path).encode_batch_fast(texts, add_special_tokens=False)
 
 
 def encode_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE_50K) -> DataFrame:
@@ -65,7 +65,7 @@ def encode_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _encode([t or "" for t in batch.column(1).to_pylist()], tokenizer)
+        ids = [e.ids for e in _encode([t or "" for t in batch.column(1).to_pylist()], tokenizer)]
         flat = np.fromiter((i for row in ids for i in row), dtype=np.int32, count=sum(map(len, ids)))
         return pa.RecordBatch.from_arrays([batch.column(0), list_of(flat, [len(r) for r in ids])], schema=schema)
 
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, *keep: str, text_col: str = "text", tokenizer:
     """The columns keep and n_tokens (bigint) of each row's text; 0 for an empty and for a null text."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(r) for r in _encode([t or "" for t in batch.column(len(keep)).to_pylist()], tokenizer)]
+        n = [len(e) for e in _encode([t or "" for t in batch.column(len(keep)).to_pylist()], tokenizer)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     picked = docs.select(*keep, F.col(text_col).alias("_text"))
