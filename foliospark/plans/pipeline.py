@@ -28,7 +28,7 @@ def ingest(spark: SparkSession, *, tickers: str | None = None, tickers_file: str
     rows = filings.annual_reports(filings.submission_rows(pages).join(owners, "url"), start=start, end=end)
     asked = rows.select(
         filings.document_url(documents_url, F.col("cik"), F.col("accession_number"), F.col("primary_document")).alias("url"),
-        "ticker", F.year(F.to_date("filing_date")).alias("year"), filings.raw_name(F.col("ticker"), F.col("filing_date"), F.col("accession_number"), F.col("primary_document")).alias("name"),
+        "ticker", F.year(filings.filing_day(F.col("filing_date"))).alias("year"), filings.raw_name(F.col("ticker"), F.col("filing_date"), F.col("accession_number"), F.col("primary_document")).alias("name"),
     )
     return filings.download(asked, outdir, pause=sleep)
 

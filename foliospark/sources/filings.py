@@ -107,9 +107,14 @@ def older_pages(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(names).alias("name"))
 
 
+def filing_day(date: Column) -> Column:
+    """The day of a filing date written yyyy-MM-dd or yyyyMMdd, null for any other."""
+    return F.coalesce(F.try_to_date(date, "yyyy-MM-dd"), F.try_to_date(date, "yyyyMMdd"))
+
+
 def annual_reports(rows: DataFrame, *, start: str = "2020-01-01", end: str = "2024-12-31", form: str = "10-K", date_col: str = "filing_date") -> DataFrame:
     """Rows of exactly this form filed between the days, both included; dates that are none are left out."""
-    day = F.try_to_date(F.col(date_col), "yyyy-MM-dd")
+    day = filing_day(F.col(date_col))
     return rows.where((F.col("form") == form) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 

@@ -53,3 +53,14 @@ def test_ingest_from_recorded_pages(spark, tmp_path):
     (tmp_path / "docs/7/12/a.htm").write_bytes(b"<p>report</p>")
     out = pipeline.ingest(spark, tickers="ab,none", map_url=u("map.json"), submissions_url=u("{name}"), documents_url=u("docs"), outdir=str(tmp_path / "raw"), sleep=0)
     assert [(r["ok"], r["path"].rsplit("/", 3)[1:]) for r in out.collect()] == [(True, ["AB", "2021", "AB_2021-03-01_1-2.htm"])]
+
+
+def test_ingest_reads_days_without_hyphens(spark, tmp_path):
+    u = lambda n: f"file://{tmp_path}/{n}"
+    (tmp_path / "map.json").write_text(json.dumps({"0": {"ticker": "AB", "cik_str": 7}}))
+    recent = {"form": ["10-K"], "filingDate": ["20220201"], "accessionNumber": ["1-2"], "primaryDocument": ["a.htm"]}
+    (tmp_path / "CIK0000000007.json").write_text(json.dumps({"filings": {"recent": recent}}))
+    (tmp_path / "docs/7/12").mkdir(parents=True)
+    (tmp_path / "docs/7/12/a.htm").write_bytes(b"<p>report</p>")
+    out = pipeline.ingest(spark, tickers="ab", map_url=u("map.json"), submissions_url=u("{name}"), documents_url=u("docs"), outdir=str(tmp_path / "raw"), sleep=0)
+    assert [(r["ok"], r["path"].rsplit("/", 3)[1:]) for r in out.collect()] == [(True, ["AB", "2022", "AB_20220201_1-2.htm"])]

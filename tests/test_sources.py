@@ -89,6 +89,12 @@ def test_recorded_submissions(spark, tmp_path):
     assert (out / "AB/2021/m.json").stat().st_size and (out / "AB/2021/ERROR_g.html.txt").exists()
 
 
+def test_annual_reports_read_both_date_formats(spark):
+    days = ["2022-02-01", "20220201", "2019-12-31", "20191231", "20200101", "20241231", "20250101", "20221301", "x", "", None]
+    rows = spark.createDataFrame([("10-K", d, str(k)) for k, d in enumerate(days)] + [("8-K", "20220201", "f")], "form string, filing_date string, accession_number string")
+    assert sorted(r["accession_number"] for r in filings.annual_reports(rows).collect()) == ["0", "1", "4", "5"]
+
+
 def test_streams_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     source, target, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
