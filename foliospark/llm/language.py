@@ -28,9 +28,11 @@ BUCKET_BITS = 18
 MAX_LANDMARKS = 600
 MAX_TRAINING = 6000
 MIN_LETTERS = 20
-MARGIN = 0.25
+MARGIN = 0.1
 SHARPNESS = 6.0
 RIDGE = 1e-3
+#: Keys and digests that exports leave; their letters are in no language.
+_DIGEST = re.compile(r"(?<![^\W_])(?=[a-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![^\W_])")
 
 
 @lru_cache(maxsize=1)
@@ -244,6 +246,11 @@ def train(samples: DataFrame, docs: DataFrame | None = None, *, sample_docs: int
     return fit(first + confirmed(model, [(r[0], r[1]) for r in rows], per_language=per_language), landmarks=landmarks)
 
 
+def _letters_in_words(line: str) -> int:
+    """The letters of a line but for those of hexadecimal digests."""
+    return int((_classes()[_code_points(_DIGEST.sub(" ", line))] == 1).sum())
+
+
 def _softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(SHARPNESS * (scores - scores.max(axis=-1, keepdims=True)))
     return e / e.sum(axis=-1, keepdims=True)
@@ -252,8 +259,8 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", margin: float = MARGIN) -> DataFrame:
     """(doc_id, line_no, language, confidence, letters, label): line_no 0 for each document, and each line in another language.
 
-    Lines stand between line feeds and count from 1, blank ones included. A line has a row if it has MIN_LETTERS letters and
-    its language beats the document's by margin. letters is the number of letters of the document or line; label is the
+    Lines stand between line feeds and count from 1, blank ones included. A line has a row if it has MIN_LETTERS letters, those
+    of hexadecimal digests aside, and its language beats the document's by margin. letters is the number of letters of the document or line; label is the
     document's own label trimmed, in lower case and cut to two characters. A text without any known n-gram, a null, an empty
     and a blank text have null language and confidence 0. A row for each row of docs; other columns are not read.
     """
@@ -286,6 +293,7 @@ def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
             at = np.arange(len(lines))
             with np.errstate(invalid="ignore"):
                 other = np.flatnonzero((letters >= MIN_LETTERS) & (best < k) & (best != main[owner]) & (padded[at, best] - padded[at, main[owner]] >= margin))
+            other = other[[_letters_in_words(lines[j]) >= MIN_LETTERS for j in other]] if len(other) else other
             own = np.arange(len(texts))
             line_sure = _softmax(scores[other])[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
             pick = pa.array(np.concatenate([own, owner[other]]))

@@ -132,3 +132,40 @@ def test_documents_and_lines(spark, samples):
     assert language.languages_of(df.limit(0), model).count() == 0
     empty = language.train(spark.createDataFrame([], "lang string, text string"))
     assert language.languages_of(df, empty).where("language is not null").count() == 0
+
+
+def short_lines(text):
+    """Parts of text of 20 to 40 letters."""
+    parts, line = text.split() if " " in text else [text[k : k + 30] for k in range(0, len(text), 30)], ""
+    for part in parts:
+        line = f"{line} {part}".strip()
+        letters = sum(c.isalpha() for c in line)
+        if letters >= language.MIN_LETTERS:
+            if letters <= 40:
+                yield line
+            line = ""
+
+
+def test_short_held_out_lines_stand_out_in_every_other_language(spark, samples):
+    model = language.fit([s for k, s in enumerate(samples) if k % 4])
+    around = {lang: "\n".join(t for k, (x, t) in enumerate(samples) if x == lang and k % 4) for lang in model.languages}
+    held = [(lang, line) for k, (lang, t) in enumerate(samples) if k % 4 == 0 for line in short_lines(t)]
+    scores, _ = model.scores([line for _, line in held])
+    held = [h for h, s in zip(held, scores) if model.languages[s.argmax()] == h[0]]
+    cases = [(lang, line, main) for lang, line in held for main in model.languages if main != lang]
+    df = spark.createDataFrame([(k, f"{around[main]}\n{line}", main) for k, (_, line, main) in enumerate(cases)], "doc_id bigint, text string, lang string")
+    last = {k: around[main].count("\n") + 2 for k, (_, _, main) in enumerate(cases)}
+    found = {r["doc_id"]: r["language"] for r in language.languages_of(df, model).where("line_no > 0").collect() if r["line_no"] == last[r["doc_id"]]}
+    right = [found.get(k) == lang for k, (lang, _, _) in enumerate(cases)]
+    close = [ok for ok, (lang, _, main) in zip(right, cases) if {lang, main} == {"es", "pt"}]
+    assert sum(right) >= 0.975 * len(right) and sum(close) >= 0.9 * len(close)
+
+
+def test_digests_are_in_no_language(spark, samples):
+    english = "\n".join(t for lang, t in samples if lang == "en")
+    german = next(t for lang, t in samples if lang == "de")
+    digest = "49602ad8c0f098f07441884747d1b721cd701ae3113d397cf4965eb9b21d4437" * 8
+    model = language.fit(samples)
+    df = spark.createDataFrame([(1, f"{english}\n{digest}\n{german} {digest}", "en")], "doc_id bigint, text string, lang string")
+    n = english.count("\n")
+    assert [(r["line_no"], r["language"]) for r in language.languages_of(df, model, margin=-9).where(f"line_no > {n + 1}").collect()] == [(n + 3, "de")]
