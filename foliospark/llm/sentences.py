@@ -32,12 +32,39 @@ NEVER = (
 #: After these a sentence goes on before a figure.
 BEFORE_FIGURE = "no nos jan feb mar apr jun jul aug sep sept oct nov dec note item items part п".split()
 #: After these a sentence may end, if a capital follows that is no further word of a text in capitals.
-MAY_END = "inc corp co ltd ltda llc plc gmbh s.a al etc usw jr u.s u.k u.s.a p.m a.m uu др г д руб ft".split()
-#: Words that may begin a sentence after an abbreviation in a text written in capitals.
-STARTERS = frozenset(
-    "a absent after an as at because beginning by cash compared despite details during each excluding following for forward-looking given if in is it "
-    "dr copyright details four batch read ratings share subscribe unaudited printed could management messrs most ms net no nothing of on our outside over see since subject the this three throughout to two under we who why with".split()
+MAY_END = "inc corp co ltd ltda llc plc gmbh s.a al jr u.s u.k u.s.a uu др руб ft".split()
+#: After these a sentence ends before a capital, in a text in capitals too.
+CLOSING = "etc usw p.m a.m д".split()
+#: After these a text in capitals goes on: a year stands before what it dates.
+YEAR = ["г"]
+COMPANY = frozenset("inc corp co ltd ltda llc plc gmbh s.a".split())
+# The closed classes of the cased languages of the corpus, by which texts in capitals are cut after an abbreviation.
+#: Articles, pronouns, other words before a noun, question words, titles, references and "management", which has no article: what follows an abbreviation begins anew.
+OPENERS = frozenset(
+    "a an the this that these those each every all both some any no none neither nobody nothing most many few several such other others another one two three four five six seven eight nine ten "
+    "i you he she it we they my your his her its our their who what why how where there here dr mr mrs ms messrs see management "
+    "der die das dem den ein eine einer eines einem einen dieser diese dieses jeder jede jedes kein keine alle wir er sie es ihr sein seine unser unsere wer warum siehe "
+    "le la les un une des ce cet cette ces chaque tout toute tous toutes aucun aucune nous vous il elle ils elles son sa ses notre nos leur leurs qui pourquoi voir m mme mlle "
+    "el los las una unos unas este esta estos estas ese esa cada todo toda todos todas ningún ninguna nosotros él ella ellos ellas su sus nuestro nuestra nuestros nuestras quién sr sra véase "
+    "o os um uma uns umas este esse essa isto isso todo toda nenhum nenhuma nós ele ela eles elas seu sua seus suas nosso nossa nossos nossas quem ver veja "
+    "мы вы он она оно они это этот эта эти тот та те каждый каждая каждое все весь вся всё наш наша наше наши его её их кто что почему никто ничто см".split()
+)
+#: Prepositions and words that begin a clause: they begin a sentence where a comma and a subject follow, else the sentence goes on.
+LEADS = frozenset(
+    "about above absent according across after against along although among as at based because before beginning behind below beneath beside besides between beyond by compared concerning considering despite due during except excluding "
+    "following for from given if in including inside into like near of off on once onto out outside over past pending per regarding since subject than though through throughout to together toward towards under unless unlike until up upon via when where whereas while with within without "
+    "ab am auf aus außer bei beim bis durch für gegen im laut mit nach neben ohne seit trotz über um unter vom von vor während wegen zu zum zur zwischen wenn weil obwohl falls da "
+    "à au aux avant après avec chez contre dans de depuis dès devant du durant en entre hors malgré par parmi pendant pour sans sauf selon sous sur vers si lorsque quand comme puisque bien "
+    "ante antes bajo con conforme contra del desde después durante hacia hasta mediante para pese por salvo según sin sobre tras al debido cuando aunque como "
+    "até após apesar com da das do dos em na nas ao aos pela pelo perante segundo sem sob quando embora se "
+    "в во на по с со из из-за от до для при после без несмотря согласно к ко о об у за под перед между через против кроме благодаря если когда хотя так поскольку".split()
+)
+#: Conjunctions and relatives: before these a sentence goes on.
+JOINS = frozenset(
+    "and or nor but yet so which whose whom plus und oder sowie aber sondern et ou mais dont y e u pero sino que mas и или а но либо который которая которое которые чем".split()
 )
+#: Verbs that begin a question, if a question mark comes next.
+ASKING = frozenset("is are was were am do does did has have had can could will would shall should may might must".split())
 MONTHS_DE = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 
 PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "(": ")", "（": "）", "[": "]", "【": "】", '"': '"'}
@@ -56,6 +83,9 @@ _HEAD_NUMBER = re.compile(r"(?:item|part)\s+\S{1,5}$", re.IGNORECASE)
 #: German ordinals, as in "ab dem 1. Quartal".
 _ORDINAL = re.compile(r"(?<!\w)(?:dem|den|der|des|am|im|vom|zum|zur|beim)\s+\d{1,2}$", re.IGNORECASE)
 _WORD = re.compile(r"\S{1,240}")
+_AROUND = ".,;:!?\"”“„«»’'()[]"
+#: What ends a clause: a comma before a space, or a sign that ends more.
+_CLAUSE_EVENT = re.compile(r",(?=\s)|[;:!?…]|\.(?=\s|$)")
 
 
 def build_trie(words: list[tuple[str, str]]) -> dict:
@@ -69,7 +99,7 @@ def build_trie(words: list[tuple[str, str]]) -> dict:
     return root
 
 
-TRIE = build_trie([(w, "never") for w in NEVER] + [(w, "figure") for w in BEFORE_FIGURE] + [(w, "may") for w in MAY_END])
+TRIE = build_trie([(w, "never") for w in NEVER] + [(w, "figure") for w in BEFORE_FIGURE] + [(w, "may") for w in MAY_END] + [(w, "close") for w in CLOSING] + [(w, "year") for w in YEAR])
 
 
 def abbreviation(text: str, stop: int, begin: int) -> str:
@@ -175,12 +205,66 @@ def _begins(text: str, i: int, end: int) -> bool:
     return c not in ",;:.!?)]}%،؛"
 
 
-def _goes_on_in_capitals(text: str, at: int, after: int) -> bool:
-    """In a text in capitals: whether the next word is one that begins no sentence."""
+def _word_at(text: str, i: int) -> str:
+    """The word at i without the punctuation around it, in lower case."""
+    word = _WORD.match(text, i)
+    return word.group().strip(_AROUND).lower() if word else ""
+
+
+def _full_stop(text: str, at: int, begin: int) -> bool:
+    """Whether the sign at `at` ends a sentence and is not that of an abbreviation."""
+    return text[at] in ENDS and not (text[at] == "." and abbreviation(text, at, begin))
+
+
+def _clause_follows(text: str, i: int, end: int) -> bool:
+    """Whether the clause that a lead at i begins goes on, after a comma, with a subject."""
+    for m in _CLAUSE_EVENT.finditer(text, i, min(end, i + 200)):
+        at = m.start()
+        if m.group() != ",":
+            if text[at] == "." and (abbreviation(text, at, i) or at - 2 < i or not text[at - 2].isalnum()):
+                continue
+            return False
+        nxt = m.end()
+        while nxt < end and text[nxt].isspace():
+            nxt += 1
+        word = _word_at(text, nxt)
+        second = _WORD.match(text, nxt)
+        after = second.end() if second else nxt
+        while after < end and text[after].isspace():
+            after += 1
+        # A participle, as in "offset by", is no subject, and a measure, as in "a 5-point change", stands beside one.
+        if word in ("a", "an") and after < end and text[after].isdigit():
+            return False
+        return bool(word) and word not in JOINS and word not in LEADS and (word in OPENERS or _word_at(text, after) not in LEADS - {"of"})
+    return False
+
+
+def _opens_in_capitals(text: str, after: int, end: int, closed: bool) -> bool:
+    """In a text in capitals: whether a sentence begins at after. closed: what is before would end one, whatever follows."""
+    w = _word_at(text, after)
+    if after < end and text[after] in "([（":
+        shut = text.find(PAIRS[text[after]], after, end)
+        return shut > 0 and _full_stop(text, shut - 1, after)
+    if w in JOINS:
+        return False
+    if closed or w in OPENERS:
+        return True
+    if w in LEADS:
+        return _clause_follows(text, after, end)
+    if w in ASKING:
+        return next((m.group() == "?" for m in _CLAUSE_EVENT.finditer(text, after, min(end, after + 200)) if m.group() != ","), False)
+    # A company's name right after another name.
+    word = _WORD.match(text, after)
+    return bool(word) and word.group()[-1] not in ",;:" and _word_at(text, word.end() + 1) in COMPANY
+
+
+def _goes_on_in_capitals(text: str, at: int, after: int, end: int) -> bool:
+    """In a text in capitals: whether the next word begins no sentence. A quotation or a bracket that ends by a full stop ends one."""
     word = _WORD.match(text, after)
-    w = word.group().strip(".,;:!?\"”“’'()") if word else ""
+    w = word.group().strip(_AROUND) if word else ""
     before = re.search(r"[^\W\d_]{2}[^\w]*$", text[max(0, at - 8) : at])
-    return bool(before) and before.group()[:2].isupper() and len(w) > 1 and w.isupper() and w.lower() not in STARTERS
+    closed = text[at] in CLOSERS and text[at - 1] == "." and _full_stop(text, at - 1, max(0, at - 40))
+    return bool(before) and before.group()[:2].isupper() and len(w) > 1 and w.isupper() and not _opens_in_capitals(text, after, end, closed)
 
 
 def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: bool) -> bool:
@@ -191,12 +275,12 @@ def _stop_ends(text: str, at: int, after: int, end: int, begin: int, spaced: boo
     nxt = text[after] if after < end else ""
     if kind == "figure" and nxt.isdigit():
         return False
-    if kind == "may":
+    if kind in ("may", "close", "year"):
         word = _WORD.match(text, after)
         capitals = text[at - 1].isupper() and text[max(begin, at - 2)].isupper()
         if word:
-            w = word.group().strip(".,;:!?\"”“’'()")
-            if (len(w) > 1 or capitals) and w.isupper() and w.lower() not in STARTERS:
+            w = word.group().strip(_AROUND)
+            if (len(w) > 1 or capitals) and w.isupper() and (kind == "year" or not _opens_in_capitals(text, after, end, kind == "close")):
                 return False
         return True
     prev = text[at - 1] if at > begin else ""
@@ -291,11 +375,11 @@ def ends_of(text: str) -> list[int]:
             if c in SURE:
                 pass
             elif c in CLOSERS:
-                if not spaced or not _begins(text, after, seg_end) or _goes_on_in_capitals(text, at, after):
+                if not spaced or not _begins(text, after, seg_end) or _goes_on_in_capitals(text, at, after, seg_end):
                     continue
             else:
                 last = text[p - 1]
-                if (p - at >= 3 or c == "…") and at > begin and text[at - 1].isspace() and _goes_on_in_capitals(text, at, after):
+                if (p - at >= 3 or c == "…") and at > begin and text[at - 1].isspace() and _goes_on_in_capitals(text, at, after, seg_end):
                     continue
                 if not _begins(text, after, seg_end):
                     continue

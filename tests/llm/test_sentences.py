@@ -62,6 +62,31 @@ def test_capitals():
     assert units("THE AUDITOR OF ACME INC. EXPANDED THE U.S. MARKET. TO DATE, IT HELD.") == ["THE AUDITOR OF ACME INC. EXPANDED THE U.S. MARKET.", "TO DATE, IT HELD."]
 
 
+CAPITALS = [
+    # what closes a list or gives a time
+    ["ESTO AFECTA A MOR, SUS FILIALES, ETC.", "LA DIVISIÓN VENDIÓ LA PLANTA."],
+    ["ESTO AFECTA A MOR, SUS FILIALES, ETC.", "SIN PARTIDAS EXTRAORDINARIAS, EL PROVEEDOR PAGÓ."],
+    ["ISTO ABRANGE A MOR, AS SUAS FILIAIS, ETC.", "DESDE MARÇO, O ARRENDADOR PAGOU."],
+    ["CELA VISE X, SES FILIALES, ETC.", "PRÈS DE 5 USINES ONT FERMÉ."],
+    ["DAS GILT FÜR MOR USW.", "LAGERBESTÄNDE SANKEN."],
+    ["ЭТО КАСАЕТСЯ СКЛАДОВ, ПОРТОВ И Т. Д.", "ЗАВОД ПРОДАЛ ЗАПАСЫ."],
+    ["THE PLANT SOLD PRESSES, TOOLS, ETC. AND LEFT.", "IT CLOSES AT 6 P.M.", "VELMOR ACTED."],
+    # openers, leads with a subject, companies' names
+    ["THE UNIT WAS SOLD TO MOR INC.", "ALL PLANTS CLOSED.", "MOST INCOME ARISES IN THE U.S.", "NOBODY LEFT.", "IT WENT TO DAR ET AL.", "MANY STAYED."],
+    ["THE UNIT WAS SOLD TO MOR INC.", "UNDER SEC. 10.9 OF THE AGREEMENT, OUR PLANT CLOSED.", "IT WENT TO MOR INC.", "DAR INC. PAID.", "INCOME ARISES IN THE U.S.", "IS THE ZINC SAFE?"],
+    # a sentence goes on
+    ["DAR CORP. SOLD THE KILN OF MOR CO. AT THE VEL EXCHANGE, WHILE VOLUMES FELL.", "DAR CORP. SOLD THE KILN OF MOR CO. IN CASH AND CREDITS, OFFSET BY GAINS."],
+    ["DAR SOLD THE KILN OF MOR CO. (APPROX. 739 SQ. FT.), WHILE VOLUMES FELL.", "DAR SOLD THE KILN OF MOR CO. (SEE NOTE 2.7) SO THAT RISK IS LIMITED.", "DAR SOLD THE KILN OF MOR CO. WITHOUT RECOURSE, A 61.8-POINT CHANGE FROM 2010."],
+    ["ЗАВОД КУПИЛ ДО 5,1 МЛН РУБ. В ГОД.", "В 2001 Г. НАШ ПАРТНЁР ПРОДАЛ ПАТЕНТЫ И ДР. ПРАВА ПО СТАВКЕ."],
+    ['"THE CHILLER STAYS MODULAR."', "VELMOR ACQUIRED IT."],
+]
+
+
+@pytest.mark.parametrize("want", CAPITALS)
+def test_texts_in_capitals(want):
+    assert units(" ".join(want)) == want
+
+
 def test_ends_are_counted_in_code_points_and_never_white_space():
     text = "  \U0001f4c8 up. \r\n\r\n down \U0001f4c8  "
     assert S.ends_of(text) == [7, 19]
