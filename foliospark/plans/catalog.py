@@ -222,8 +222,7 @@ def q_brand_density(spark, d):
 
 
 def _scored(spark, d, **how):
-    docs = _t(spark, d, "documents").where("ticker is not null and fiscal_year is not null")
-    return scoring.score_sections(docs, **how)
+    return scoring.score_sections(_t(spark, d, "documents"), **how)
 
 
 def q_section_scores(spark, d):
@@ -308,7 +307,7 @@ def q_xml_sniff(spark, d):
 def q_prepared_sections(spark, d):
     """Older score rows brought to canonical names, items normalized, only 1A and 7 with text."""
     rows = _t(spark, d, "documents").select("ticker", F.col("fiscal_year").alias("year"), F.concat(F.lit("Item "), F.col("item"), F.lit(".")).alias("section"), "text")
-    out = scoring.prepare(rows.where("ticker is not null and year is not null"))
+    out = scoring.prepare(rows)
     return out.select("ticker", "fiscal_year", "item", "filing_date", "accession", F.length("text").cast("bigint").alias("n"))
 
 

@@ -132,3 +132,17 @@ def test_returns_and_lookup(spark):
     rows = {r["ticker"]: r for r in analytics.returns_from_prices(filings, prices, (30,)).collect()}
     assert rows["A"]["buy_date"] == d(2020, 1, 6) and abs(rows["A"]["ret_30d"] - 0.2) < 1e-9 and rows["B"]["buy_date"] is None
     assert analytics.point_lookup(prices, ["day"], ticker="nobody").count() == 0
+
+
+def test_sections_without_ticker_or_year_are_scored(spark, tmp_path):
+    from foliospark.plans import catalog
+
+    text = "There was strong growth in profit this year. Losses could adversely affect us in many ways."
+    rows = [(k, t, y, "2020-03-01", f"a{k}", "1A", text, "web") for k, (t, y) in enumerate([("AB", 2020), (None, 2020), ("AB", None), (None, None)])]
+    spark.createDataFrame(rows, "doc_id bigint, ticker string, fiscal_year int, filing_date string, accession string, item string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("AB", "Acme")], "ticker string, alias string").write.parquet(f"{tmp_path}/alias_map.parquet")
+    for query in (catalog.q_section_scores, catalog.q_section_scores_tuned, catalog.q_section_scores_collapsed):
+        assert sorted(r["accession"] for r in query(spark, str(tmp_path)).collect()) == ["a0", "a1", "a2", "a3"]
+    assert {r["accession"] for r in catalog.q_sentence_scores(spark, str(tmp_path)).collect()} == {"a0", "a1", "a2", "a3"}
+    got = catalog.q_prepared_sections(spark, str(tmp_path)).collect()
+    assert sorted((r["ticker"] or "", r["fiscal_year"] or 0) for r in got) == [("", 0), ("", 2020), ("AB", 0), ("AB", 2020)]
