@@ -266,9 +266,8 @@ def q_json_navigate(spark, d):
 
 def q_zip_arrays(spark, d):
     subs = _t(spark, d, "submissions").where("ticker is not null").select("ticker", F.struct("accession_number", "form", "filing_date", "primary_document").alias("r")).distinct()
-    arrays = subs.groupBy("ticker").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    short = F.slice("r.form", 1, F.greatest(F.size("r") - 1, F.lit(1)))
-    rows = web.zip_rows(short, F.col("r.filing_date"), F.col("r.accession_number"), F.col("r.primary_document"))
+    arrays = subs.groupBy("ticker", "r.accession_number").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    rows = web.zip_rows(F.col("r.form"), F.col("r.filing_date"), F.col("r.accession_number"), F.col("r.primary_document"))
     return arrays.select("ticker", F.inline(rows)).select("ticker", "form", "filing_date", "accession_number", "primary_document")
 
 

@@ -95,6 +95,16 @@ def test_annual_reports_read_both_date_formats(spark):
     assert sorted(r["accession_number"] for r in filings.annual_reports(rows).collect()) == ["0", "1", "4", "5"]
 
 
+def test_zipped_arrays_keep_every_submission(spark, tmp_path):
+    from foliospark.plans import catalog
+
+    rows = [("AB", "1-1", "10-K", "2020-03-01", "a.htm"), ("AB", "1-1", "10-K", "2020-03-01", "a.htm"), ("AB", "1-1", "10-K/A", "20200302", None), ("AB", "1-2", None, None, "b.htm"), ("AB", None, "8-K", "2021-01-01", "c.htm"), ("CD", "2-1", "10-K", "2020-03-01", "d.htm")]
+    names = ["ticker", "accession_number", "form", "filing_date", "primary_document"]
+    spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).write.parquet(f"{tmp_path}/submissions.parquet")
+    got = [tuple(r[n] for n in names) for r in catalog.q_zip_arrays(spark, str(tmp_path)).collect()]
+    assert len(got) == 5 and set(got) == set(rows)
+
+
 def test_streams_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     source, target, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
