@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import encode, language, lines, mix, nearest, neardup, sentences, split
+from foliospark.storage import shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +23,13 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(_t(spark, d, "documents"))
 
 
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written to a few large files in the shared folder, and these split by ranges."""
+    path = f"{shared_dir(spark)}/p1-files-{uuid.uuid4().hex}"
+    _t(spark, d, "documents").where("text is not null").select("text").write.text(path)
+    return split.split_files(spark, path, glob="*.txt")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_quotes(_t(spark, d, "filing_returns"), _t(spark, d, "price_quotes"))
 
@@ -119,6 +129,7 @@ k as (select ticker, line, count(distinct doc_id) as n_docs, count(distinct raw)
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_files": p1_files,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,

@@ -159,3 +159,14 @@ def test_repeated_lines_equal_brute_force(spark):
     report = {(r["ticker"], r["line"]): r["n_docs"] for r in lines.repeated_line_report(df).collect()}
     assert report == {k: len(v) for k, v in seen.items() if len(v) >= 6}
     assert lines.repeated_lines(df.limit(0)).count() == 0
+
+
+def test_documents_as_files_come_out_whole(spark, tmp_path):
+    from foliospark.llm import queries
+
+    text = "One sentence of a long text. " * 700_000  # over two ranges
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.QUERIES["p1_files"](spark, str(tmp_path)).collect(), key=lambda r: r["piece_no"])
+    assert [r["piece_no"] for r in rows] == list(range(len(rows))) and max(r["n_chars"] for r in rows) <= split.LIMIT
+    assert rows[0]["start_byte"] == 0 and rows[-1]["end_byte"] == len(text) + 1
+    assert all(a["start_byte"] < b["start_byte"] <= a["end_byte"] < b["end_byte"] for a, b in zip(rows, rows[1:]))
