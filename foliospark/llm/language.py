@@ -8,7 +8,7 @@ coefficients multiply out once to a matrix of n-gram buckets by languages, and a
 its sparse presence matrix with it.
 
 A document's language is that which most letters of its lines are in. A line stands out only if its own language beats the
-document's by a margin.
+document's by a margin. Keys, digests and encoded data that exports leave are in no language: they neither train nor vote.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ MAX_LANDMARKS = 600
 MAX_TRAINING = 6000
 MIN_LETTERS = 20
 MARGIN = 0.1
+#: What the scores are multiplied by for the confidence, if a model has none of its own from held-out samples.
 SHARPNESS = 6.0
+SHARPNESSES = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0)
 RIDGE = 1e-3
-#: Keys and digests that exports leave; their letters are in no language.
-_DIGEST = re.compile(r"(?<![^\W_])(?=[a-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![^\W_])")
+#: The shortest unbroken run that may be a digest, a key or encoded data, if there are figures among its letters.
+MACHINE_RUN = 32
+_MACHINE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]{0,64}[0-9])[A-Za-z0-9+/=_-]{%d,}" % MACHINE_RUN)
 
 
 @lru_cache(maxsize=1)
@@ -127,17 +130,20 @@ def _presence_in_parts(lines: list[str], known: np.ndarray, most: int = 500_000)
 
 
 class Model:
-    """languages, and weights by n-gram bucket and language; known: the buckets that any landmark has."""
+    """languages, and weights by n-gram bucket and language; known: the buckets that any landmark has.
 
-    def __init__(self, languages: list[str], weights: np.ndarray, known: np.ndarray):
-        self.languages, self.weights, self.known = languages, weights, known
+    sharpness: what the scores are multiplied by before they are made shares of one.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, known: np.ndarray, sharpness: float = SHARPNESS):
+        self.languages, self.weights, self.known, self.sharpness = languages, weights, known, sharpness
 
     def __getstate__(self) -> tuple:
         used = np.flatnonzero(self.known)
-        return self.languages, used.astype(np.int32), self.weights[used]
+        return self.languages, used.astype(np.int32), self.weights[used], self.sharpness
 
     def __setstate__(self, state: tuple) -> None:
-        self.languages, used, rows = state
+        self.languages, used, rows, self.sharpness = state
         self.weights = np.zeros((1 << BUCKET_BITS, len(self.languages)), dtype=np.float32)
         self.weights[used] = rows
         self.known = np.zeros(1 << BUCKET_BITS, dtype=bool)
@@ -197,23 +203,45 @@ def _one_line(text: str) -> str:
     return re.sub(r"\s+", " ", text)
 
 
-def confirmed(model: Model, labelled: list[tuple[str, str]], *, per_language: int, doubt: float = 0.25) -> list[tuple[str, str]]:
+def without_machine_runs(text: str) -> str:
+    """text with a space for each digest, key or run of encoded data; its line feeds stay where they are."""
+    if len(max(text.split(), key=len, default="")) < MACHINE_RUN:
+        return text
+    return _MACHINE.sub(" ", text)
+
+
+def calibrated(samples: list[tuple[str, str]], *, landmarks: int = MAX_LANDMARKS, held_out: int = 5) -> float:
+    """The sharpness with which a model of most samples gives the others the least surprise; SHARPNESS if there are too few."""
+    samples = sorted(set(samples))
+    kept, asked = [s for k, s in enumerate(samples) if k % held_out], samples[::held_out]
+    known = {lang for lang, _ in kept}
+    asked = [s for s in asked if s[0] in known]
+    if len(known) < 2 or len(asked) < 2 * len(known):
+        return SHARPNESS
+    model = fit(kept, landmarks=landmarks)
+    scores, _ = model.scores([_one_line(t) for _, t in asked])
+    right = np.array([model.languages.index(lang) for lang, _ in asked])
+    surprise = [-np.log(np.maximum(_softmax(scores, k)[np.arange(len(right)), right], 1e-9)).mean() for k in SHARPNESSES]
+    return SHARPNESSES[int(np.argmin(surprise))]
+
+
+def confirmed(model: Model, labelled: list[tuple[str, str]], *, per_language: int, doubt: float = 0.25, line_chars: int = 300) -> list[tuple[str, str]]:
     """Lines to train on from documents with labels of uneven worth: those of documents that the model finds in their own language.
 
     A line that the model puts into another language by more than doubt is left out. At most per_language lines for each
-    language, spread evenly over the sorted lines.
+    language, spread evenly over the sorted lines, each cut to line_chars.
     """
     pool: dict[str, set[str]] = {}
     for label, text in labelled:
         if label not in model.languages:
             continue
-        lines = [x for x in text.split("\n") if x.strip()]
+        lines = [x for x in without_machine_runs(text).split("\n") if x.strip()]
         scores, letters = model.scores(lines)
         if not len(lines) or model.languages[int(np.bincount(scores.argmax(1), weights=letters, minlength=len(model.languages)).argmax())] != label:
             continue
         own = scores[:, model.languages.index(label)]
         for k in np.flatnonzero((letters >= MIN_LETTERS) & (scores.max(1) - own <= doubt)):
-            pool.setdefault(label, set()).add(lines[k][:300])
+            pool.setdefault(label, set()).add(lines[k][:line_chars])
     out = []
     for label, found in sorted(pool.items()):
         ordered = sorted(found)
@@ -227,42 +255,61 @@ def norm_label(label) -> F.Column:
     return F.substring(F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", "")), 1, 2)
 
 
-def train(samples: DataFrame, docs: DataFrame | None = None, *, sample_docs: int = 2000, per_language: int = 400, landmarks: int = MAX_LANDMARKS, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Fits on at most MAX_TRAINING labelled samples and, from docs, on lines of at most sample_docs documents.
-
-    The documents are those of the least hashes of their ids among labelled ones, at most 40 lines of 400 characters of each;
-    their labels only count where the model of the samples agrees. All bounds are parameters; the sample is the only thing
-    that comes to the driver.
+def train(
+    samples: DataFrame,
+    docs: DataFrame | None = None,
+    *,
+    sample_docs: int = 2000,
+    per_language: int = 400,
+    landmarks: int = MAX_LANDMARKS,
+    most_samples: int = MAX_TRAINING,
+    doc_chars: int = 16_000,
+    doc_lines: int = 40,
+    line_chars: int = 400,
+    least_chars: int = 200,
+    label_col: str = "lang",
+    text_col: str = "text",
+    id_col: str = "doc_id",
+) -> Model:
+    """Fits on at most most_samples labelled samples and, from docs, on lines of at most sample_docs documents.
+
+    The documents are those of the least hashes of their ids among labelled ones of more than least_chars code points; of each
+    at most doc_lines lines of line_chars code points of its first doc_chars. Their labels only count where the model of the
+    samples agrees. This sample is all that comes to the driver, and only the fit is bounded by it: every text is scored whole.
     """
-    first = [(r[0], r[1]) for r in samples.select(norm_label(F.col(label_col)), text_col).where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).orderBy(F.xxhash64(text_col)).limit(MAX_TRAINING).collect()]
+    first = [(r[0], r[1]) for r in samples.select(norm_label(F.col(label_col)), text_col).where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).orderBy(F.xxhash64(text_col)).limit(most_samples).collect()]
     model = fit(first, landmarks=landmarks)
     if docs is None or not model.languages:
         return model
-    part = F.array_join(F.transform(F.slice(F.split(F.substring(text_col, 1, 16000), "\n"), 1, 40), lambda x: F.substring(x, 1, 400)), "\n")
+    part = F.array_join(F.transform(F.slice(F.split(F.substring(text_col, 1, doc_chars), "\n"), 1, doc_lines), lambda x: F.substring(x, 1, line_chars)), "\n")
     # Only hashes under a bound that leaves about twice as many documents as are wanted: what is sorted does not grow with docs.
     bound = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * sample_docs / max(1, docs.count()))))
-    ids = docs.withColumn("_h", F.xxhash64(id_col, F.lit(11))).where((F.col("_h") <= bound) & F.col(label_col).isNotNull() & (F.length(text_col) > 200))
+    ids = docs.withColumn("_h", F.xxhash64(id_col, F.lit(11))).where((F.col("_h") <= bound) & F.col(label_col).isNotNull() & (F.length(text_col) > least_chars))
     rows = ids.select(norm_label(F.col(label_col)).alias("label"), part.alias("part"), "_h").orderBy("_h").limit(sample_docs).select("label", "part").collect()
-    return fit(first + confirmed(model, [(r[0], r[1]) for r in rows], per_language=per_language), landmarks=landmarks)
+    every = first + confirmed(model, [(r[0], r[1]) for r in rows], per_language=per_language)
+    model = fit(every, landmarks=landmarks)
+    model.sharpness = calibrated(every, landmarks=landmarks)
+    return model
 
 
-def _letters_in_words(line: str) -> int:
-    """The letters of a line but for those of hexadecimal digests."""
-    return int((_classes()[_code_points(_DIGEST.sub(" ", line))] == 1).sum())
+def _letters(text: str) -> int:
+    return int((_classes()[_code_points(text)] == 1).sum())
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(SHARPNESS * (scores - scores.max(axis=-1, keepdims=True)))
+def _softmax(scores: np.ndarray, sharpness: float = SHARPNESS) -> np.ndarray:
+    e = np.exp(sharpness * (scores - scores.max(axis=-1, keepdims=True)))
     return e / e.sum(axis=-1, keepdims=True)
 
 
 def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", margin: float = MARGIN) -> DataFrame:
     """(doc_id, line_no, language, confidence, letters, label): line_no 0 for each document, and each line in another language.
 
-    Lines stand between line feeds and count from 1, blank ones included. A line has a row if it has MIN_LETTERS letters, those
-    of hexadecimal digests aside, and its language beats the document's by margin. letters is the number of letters of the document or line; label is the
-    document's own label trimmed, in lower case and cut to two characters. A text without any known n-gram, a null, an empty
-    and a blank text have null language and confidence 0. A row for each row of docs; other columns are not read.
+    Lines stand between line feeds and count from 1, blank ones included. A line has a row if it has MIN_LETTERS letters and its
+    language beats the document's by margin. Digests, keys and encoded data (without_machine_runs) have no language: they do
+    not vote for their document's, and their letters do not count for a line. letters is the number of letters of the
+    document, of whatever kind, or of the line; label is the document's own label trimmed, in lower case and cut to two
+    characters. A text without any known n-gram, a null, an empty and a blank text have null language and confidence 0. A row
+    for each row of docs; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64()), ("label", pa.string())])
 
@@ -272,8 +319,12 @@ def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
             texts = batch.column(1).to_pylist()
             lines: list[str] = []
             first = [0]
-            for t in texts:
-                lines += t.split("\n") if t else [""]
+            machine = np.zeros(len(texts), np.int64)
+            for j, t in enumerate(texts):
+                words = without_machine_runs(t) if t else ""
+                if t and len(words) != len(t):
+                    machine[j] = _letters(t) - _letters(words)
+                lines += words.split("\n")
                 first.append(len(lines))
             scores, letters = model.scores(lines)
             k = len(model.languages)
@@ -287,15 +338,14 @@ def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
             total = np.bincount(owner, weights=letters, minlength=len(texts)).astype(np.int64)
             weighted = np.zeros((len(texts), k))
             np.add.at(weighted, owner, scores * (letters[:, None] + 1e-6))
-            sure = _softmax(weighted / np.maximum(total, 1e-6)[:, None]) if k else np.zeros((len(texts), 0))
+            sure = _softmax(weighted / np.maximum(total, 1e-6)[:, None], model.sharpness) if k else np.zeros((len(texts), 0))
             sure = np.concatenate([sure, np.zeros((len(texts), 1))], axis=1)
             padded = np.concatenate([scores, np.full((len(lines), 1), np.inf, np.float32)], axis=1)
             at = np.arange(len(lines))
             with np.errstate(invalid="ignore"):
                 other = np.flatnonzero((letters >= MIN_LETTERS) & (best < k) & (best != main[owner]) & (padded[at, best] - padded[at, main[owner]] >= margin))
-            other = other[[_letters_in_words(lines[j]) >= MIN_LETTERS for j in other]] if len(other) else other
             own = np.arange(len(texts))
-            line_sure = _softmax(scores[other])[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
+            line_sure = _softmax(scores[other], model.sharpness)[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
             pick = pa.array(np.concatenate([own, owner[other]]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -303,7 +353,7 @@ def languages_of(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
                     pa.array(np.concatenate([np.zeros(len(texts)), other - np.asarray(first)[owner[other]] + 1]).astype(np.int32)),
                     pa.array([names[j] for j in np.concatenate([main, best[other]])], pa.string()),
                     pa.array(np.concatenate([sure[own, main], line_sure])),
-                    pa.array(np.concatenate([total, letters[other]])),
+                    pa.array(np.concatenate([total + machine, letters[other]])),
                     batch.column(2).take(pick),
                 ],
                 schema=schema,

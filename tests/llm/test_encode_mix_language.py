@@ -169,3 +169,21 @@ def test_digests_are_in_no_language(spark, samples):
     df = spark.createDataFrame([(1, f"{english}\n{digest}\n{german} {digest}", "en")], "doc_id bigint, text string, lang string")
     n = english.count("\n")
     assert [(r["line_no"], r["language"]) for r in language.languages_of(df, model, margin=-9).where(f"line_no > {n + 1}").collect()] == [(n + 3, "de")]
+
+
+def test_digests_and_encoded_data_have_no_vote(spark, samples):
+    german = "\n".join(t for lang, t in samples if lang == "de")
+    small = "f1" + "".join("0123456789abcdef"[(7 * k * k + k) % 16] for k in range(9000))
+    runs = {1: small, 2: small.upper(), 3: "aB3+/xQ9" * 900, 4: "_-=" * 2000}
+    model = language.fit(samples)
+    df = spark.createDataFrame([(k, f"{run}\n{german}", "de") for k, run in runs.items()], "doc_id bigint, text string, lang string")
+    found = language.languages_of(df, model).collect()
+    assert sorted((r["doc_id"], r["line_no"], r["language"]) for r in found) == [(k, 0, "de") for k in runs]
+    assert all(r["letters"] == sum(c.isalpha() for c in f"{runs[r['doc_id']]}{german}") for r in found)
+    assert language.without_machine_runs("Donaudampfschifffahrtsgesellschaft " + "x" * 40) == "Donaudampfschifffahrtsgesellschaft " + "x" * 40
+
+
+def test_confidence_is_calibrated_on_held_out_samples(samples):
+    assert language.calibrated(samples) in language.SHARPNESSES
+    assert language.calibrated(samples[:5]) == language.SHARPNESS
+    assert language.calibrated([]) == language.SHARPNESS
