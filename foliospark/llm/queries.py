@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm import encode, language, lines, mix, nearest, neardup, sentences, split
@@ -23,6 +24,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(_t(spark, d, "documents"))
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its pieces, and whether these keep the limit and the overlap."""
+    w = W.partitionBy("doc_id").orderBy("piece_no")
+    pieces = split.split_texts(_t(spark, d, "documents")).withColumn("cut", F.coalesce(F.lag("end_pos").over(w), F.lit(0))).withColumn("former", F.lag("start_pos").over(w))
+    back = F.col("cut") - F.col("start_pos")
+    fresh = F.col("text").substr((back + 1).cast("int"), F.length("text"))
+    # A piece begins in the last code points of the one before, or with one of its first words if that is shorter.
+    near = (F.col("piece_no") == 0) | ((back <= split.OVERLAP) & ((back > split.OVERLAP // 2) | (F.col("start_pos") - F.col("former") <= split.OVERLAP // 5 + 1)))
+    rows = pieces.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t"))))["t"], "").alias("text"), F.max(F.length("text")).alias("longest"), F.every(near).alias("overlaps"))
+    return rows.select("doc_id", F.md5("text").alias("digest"), (F.col("longest") <= split.LIMIT).alias("fits"), "overlaps")
+
+
 def p1_files(spark: SparkSession, d: str) -> DataFrame:
     """The documents written to a few large files in the shared folder, and these split by ranges."""
     path = f"{shared_dir(spark)}/p1-files-{uuid.uuid4().hex}"
@@ -129,6 +142,7 @@ k as (select ticker, line, count(distinct doc_id) as n_docs, count(distinct raw)
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rebuilt": p1_rebuilt,
     "p1_files": p1_files,
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -150,6 +164,7 @@ QUERIES = {
 
 SQL = {
     "p1_found": "select doc_id from documents where length(text) > 4000",
+    "p1_rebuilt": "select doc_id, md5(text) as digest, true as fits, true as overlaps from documents where text is not null",
     "p2_found": P2_FOUND,
     "p4_found": _P4 + "select doc_id_a, doc_id_b from p",
     "p5_found": _P5_LINES + "select doc_id, line_no::int as line_no from f join k using (ticker, line)",

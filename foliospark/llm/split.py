@@ -2,17 +2,20 @@
 
 The work goes by ranges, never by whole files. A worker reads its range and a halo on either side, and anchors the range at
 the best boundary near its start; the next range's anchor, which it finds in the halo by the same rule, is where it stops. In
-between it cuts greedily. Each range's cuts and lengths make a boundary table; prefix sums over it (one small row for each
-range) give the number and the place of every piece in the whole, and pieces are read back by their offsets alone.
+between it cuts greedily. Each range's cuts and lengths are its row of a boundary table; the rows are stitched by prefix sums,
+which give the number and the place of every piece in the whole, and pieces come out by their offsets alone.
 
-Texts in a column are cut into ranges of code points, files into ranges of bytes. A text within the limit is one piece and
-never leaves the JVM.
+Files are cut into ranges of bytes, which any worker takes; the boundary table is a written table and the prefix sums run over
+one small row for each range. A text in a column is in one worker's hands anyway: it is cut into ranges of code points there
+and stitched there by the same rule, so no text is shuffled, and the table is scanned once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,11 @@ from foliospark.llm._arrow import small_batches
 from foliospark.storage import materialize
 
 LIMIT, OVERLAP = 4000, 200
-RANGE = 1 << 20
+#: Code points of a text, and bytes of a file, to a range.
+RANGE = 1 << 14
+FILE_RANGE = 8 << 20
+#: Ranges that a task takes where there are enough of them for all cores.
+RANGES_A_TASK = 64
 
 #: Boundaries from the strongest to the weakest; a cut stands after the match.
 BOUNDARIES = [
@@ -88,91 +95,99 @@ def anchor(text: str, at: int, halo: int) -> int:
         if m:
             return m.end()
     i = min(at, len(text))
-    while i < len(text) and (_JOINED.match(text, i) or text[i - 1] == "‍"):
+    while i < min(len(text), at + halo) and (_JOINED.match(text, i) or text[i - 1] == "‍"):
         i += 1
     return i
 
 
+def boundary_table(text: str, limit: int, overlap: int, span: int) -> list[list[tuple[int, int]]]:
+    """For each range of `span` code points of text its pieces (start, end); a range looks at no more than itself and its halos."""
+    halo, out = 2 * limit, []
+    for low in range(0, len(text), span):
+        base = max(low - halo, 0)
+        part = text[base : low + span + halo]
+        begin = anchor(part, low - base, limit)
+        end = anchor(part, low + span - base, limit) if low + span < len(text) else len(part)
+        out.append([(base + a, base + b) for a, b in cut_range(part, begin, end, limit, overlap)])
+    return out
+
+
+def stitched(table: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, int]]:
+    """(number, start, end) of every piece: the prefix sums over the ranges' counts, and each piece's place in its range."""
+    before = accumulate(map(len, table), initial=0)
+    for first, pieces in zip(before, table):
+        for k, (a, b) in enumerate(pieces):
+            yield first + k, a, b
+
+
 def _check(limit: int, overlap: int, span: int) -> None:
     if not 0 <= 2 * overlap < limit or span < 4 * limit:
         raise ValueError("the overlap must be under half the limit, a range at least four limits long")
 
 
-def _number(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """piece_no over the ranges of each whole: a prefix sum over the ranges' numbers of pieces."""
-    per_range = pieces.groupBy(*keys, "range_no").agg(F.count("*").alias("n"))
-    before = per_range.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return pieces.join(before, [*keys, "range_no"]).withColumn("piece_no", (F.col("before") + F.col("k")).cast("int"))
-
-
 def split_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE, with_text: bool = True) -> DataFrame:
     """(doc_id, piece_no, start_pos, end_pos[, text]) of every text, in code points from 0, end excluded; piece_no from 0.
 
     No piece is longer than limit. A cut stands after the last paragraph, line, sentence, clause or word end, in this order,
     in the later half of what fits, else anywhere in it, else between two signs. Each piece after the first starts with the
     last overlap code points of the one before, less up to a fifth so that it starts with a word; without these the pieces
-    give the text again. An empty text is one empty piece, a null text gives none. Ids must be unique for texts over the limit.
+    give the text again. An empty text is one empty piece, a null text gives none. Null and repeated ids are split like any
+    other; an empty table gives no rows; other columns are not read. One scan, nothing is shuffled.
     """
     _check(limit, overlap, span)
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    n = F.length("text")
-    short = src.where(n <= limit).select("doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start_pos"), n.cast("bigint").alias("end_pos"), *(["text"] if with_text else []))
-    halo = 2 * limit
+    n = F.length(text_col)
+    text = F.col(text_col) if with_text else F.when(n > limit, F.col(text_col))  # a text that is one piece is needed for itself only
+    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), n.alias("n"), text.alias("text"))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()][: 4 + with_text]
+    names = ["doc_id", "piece_no", "start_pos", "end_pos", "text"][: 4 + with_text]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "part"):
-            rows: list[tuple] = []
-            for i, r, more, part in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                base = max(r * span - halo, 0)
-                begin = anchor(part, r * span - base, limit)
-                end = anchor(part, (r + 1) * span - base, limit) if more else len(part)
-                for k, (a, b) in enumerate(cut_range(part, begin, end, limit, overlap)):
-                    rows.append((i, r, k, base + a, base + b, part[a:b] if with_text else None))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            names = ["doc_id", "range_no", "k", "start_pos", "end_pos", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)][: 5 + with_text], names=names[: 5 + with_text])
-
-    schema = "doc_id bigint, range_no int, k int, start_pos bigint, end_pos bigint" + ", text string" * with_text
-    columns = ["doc_id", "piece_no", "start_pos", "end_pos", *(["text"] if with_text else [])]
-    part = F.expr(f"substring(text, cast(greatest(cast(range_no as bigint) * {span} - {halo}, 0) + 1 as int), {span + 2 * halo})")
-
-    def in_ranges(df: DataFrame) -> DataFrame:
-        df = df.withColumn("n", n).select("doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {span} as int)"))).alias("range_no"))
-        return df.select("doc_id", "range_no", (F.col("n") > F.lit(span) * (F.col("range_no") + 1)).alias("more"), F.when(F.col("n") <= span, F.col("text")).otherwise(part).alias("part"))
-
-    if not with_text:
-        # Offsets are small: one scan, and one window numbers the pieces of all texts.
-        cut = in_ranges(src.where(n > limit)).mapInArrow(run, schema)
-        number = F.row_number().over(W.partitionBy("doc_id").orderBy("range_no", "k")) - 1
-        return short.unionByName(cut.withColumn("piece_no", number).select(*columns))
-    # Pieces of texts within one range count from 0 already; only those of longer texts are shuffled.
-    one = in_ranges(src.where((n > limit) & (n <= span))).mapInArrow(run, schema).withColumnRenamed("k", "piece_no").select(*columns)
-    long = in_ranges(src.where(n > span)).repartition("doc_id", "range_no").mapInArrow(run, schema)
-    return short.unionByName(one).unionByName(_number(long, ["doc_id"]).select(*columns))
-
-
-def split_files(spark: SparkSession, path: str, *, limit: int = LIMIT, overlap: int = OVERLAP, span: int = 8 << 20, glob: str | None = None) -> DataFrame:
-    """(path, piece_no, start_byte, end_byte, n_chars, start_char) of UTF-8 files that every executor can open at the same path.
+        rows: list[tuple] = []
+        held = 0
+        for batch in small_batches(batches, "text"):
+            for i, size, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if size <= limit:
+                    places = [(0, 0, size)]
+                else:
+                    places = stitched(boundary_table(t, limit, overlap, span))
+                for no, a, b in places:
+                    rows.append((i, no, a, b, t[a:b]) if with_text else (i, no, a, b))
+                    held += b - a if with_text else 64
+                    if held >= 4 << 20:
+                        yield packed(rows)
+                        rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    return src.mapInArrow(run, "doc_id bigint, piece_no int, start_pos bigint, end_pos bigint" + ", text string" * with_text)
+
+
+def split_files(spark: SparkSession, path: str, *, limit: int = LIMIT, overlap: int = OVERLAP, span: int = FILE_RANGE, glob: str | None = None, ranges_a_task: int = RANGES_A_TASK) -> DataFrame:
+    """(path, piece_no, start_byte, end_byte, n_chars, start_char) of UTF-8 files in any file system that Spark and Arrow know.
 
     The listing gives sizes without reading contents. Ranges are `span` bytes; no worker holds more than a range and its
-    halos. Bytes that are no UTF-8 count as one code point each and are kept. Rules of cutting as in split_texts.
+    halos. Bytes that are no UTF-8 count as one code point each and are kept. Rules of cutting as in split_texts. Empty files
+    give no rows.
     """
     _check(limit, overlap, span)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "length").where("length > 0")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length - 1) div {span} as int)"))).alias("range_no"))
-    ranges = ranges.repartition(F.col("path"), F.col("range_no"))
+    last = F.expr(f"cast((length - 1) div {span} as int)")
+    n_ranges = files.agg(F.coalesce(F.sum(last + 1), F.lit(0))).head()[0]
+    tasks = max(1, min(n_ranges, 3 * spark.sparkContext.defaultParallelism), n_ranges // ranges_a_task)
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("range_no")).repartition(tasks, "path", "range_no")
     halo = 8 * limit  # bytes: two limits of the longest code points
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        schema = pa.schema([("path", pa.string()), ("range_no", pa.int32()), ("n", pa.int64()), ("chars", pa.int64()), *((c, longs) for c in ("start_byte", "end_byte", "n_chars", "upto"))])
         for batch in batches:
-            rows: list[tuple] = []
             for name, size, r in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 lo = max(r * span - halo, 0)
-                with open(_local(name), "rb") as f:
-                    f.seek(lo)
-                    raw = f.read(min(size, (r + 1) * span + halo) - lo)
+                raw = read_bytes(name, lo, min(size, (r + 1) * span + halo))
                 lead = 0
                 while lo and lead < 4 and lead < len(raw) and raw[lead] & 0xC0 == 0x80:
                     lead += 1
@@ -185,30 +200,28 @@ def split_files(spark: SparkSession, path: str, *, limit: int = LIMIT, overlap:
 
                 begin = anchor(text, chars(r * span), limit) if r else 0
                 end = anchor(text, chars((r + 1) * span), limit) if size > (r + 1) * span else len(text)
+                starts, ends, sizes, upto = [], [], [], []
                 at_char = at_byte = 0
-                sizes = []
                 for a, b in cut_range(text, begin, end, limit, overlap):
-                    sizes.append((a, b))
-                for k, (a, b) in enumerate(sizes):
                     if a >= at_char:
                         at_byte += len(text[at_char:a].encode("utf-8", "surrogateescape"))
                     else:
                         at_byte -= len(text[a:at_char].encode("utf-8", "surrogateescape"))
                     at_char = a
-                    n_bytes = len(text[a:b].encode("utf-8", "surrogateescape"))
-                    rows.append((name, r, k, lo + at_byte, lo + at_byte + n_bytes, b - a, b - (sizes[k - 1][1] if k else begin)))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "range_no", "k", "start_byte", "end_byte", "n_chars", "fresh"])
-
-    cut = ranges.select("path", "length", "range_no").mapInArrow(run, "path string, range_no int, k int, start_byte bigint, end_byte bigint, n_chars bigint, fresh bigint")
-    cut = materialize(cut, "split-boundaries")
-    per_range = cut.groupBy("path", "range_no").agg(F.count("*").alias("n"), F.sum("fresh").alias("chars"))
+                    starts.append(lo + at_byte)
+                    ends.append(lo + at_byte + len(text[a:b].encode("utf-8", "surrogateescape")))
+                    sizes.append(b - a)
+                    upto.append(b - begin)
+                columns = [[name], [r], [len(starts)], [upto[-1] if upto else 0], [starts], [ends], [sizes], [upto]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    longs = "array<bigint>"
+    table = ranges.select("path", "length", "range_no").mapInArrow(run, f"path string, range_no int, n bigint, chars bigint, start_byte {longs}, end_byte {longs}, n_chars {longs}, upto {longs}")
+    table = materialize(table, "split-boundaries")
     w = W.partitionBy("path").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
-    before = per_range.select("path", "range_no", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(w), F.lit(0)).alias("c0"))
-    inside = F.sum("fresh").over(W.partitionBy("path", "range_no").orderBy("k"))
-    placed = cut.withColumn("upto", inside).join(before, ["path", "range_no"])
-    return placed.select("path", (F.col("n0") + F.col("k")).alias("piece_no"), "start_byte", "end_byte", "n_chars", (F.col("c0") + F.col("upto") - F.col("n_chars")).alias("start_char"))
+    before = table.select("path", "range_no", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(w), F.lit(0)).alias("c0"))
+    placed = table.join(before, ["path", "range_no"]).select("path", "n0", "c0", F.posexplode(F.arrays_zip("start_byte", "end_byte", "n_chars", "upto")).alias("k", "p"))
+    return placed.select("path", (F.col("n0") + F.col("k")).alias("piece_no"), "p.start_byte", "p.end_byte", "p.n_chars", (F.col("c0") + F.col("p.upto") - F.col("p.n_chars")).alias("start_char"))
 
 
 def _aligned(raw: bytes, at: int) -> int:
@@ -219,10 +232,25 @@ def _aligned(raw: bytes, at: int) -> int:
     return max(0, at - back)
 
 
-def _local(name: str) -> str:
+@lru_cache(maxsize=16)
+def _file_system(root: str):
+    from pyarrow import fs
+
+    return fs.LocalFileSystem() if root in ("", "file:") else fs.FileSystem.from_uri(root)[0]
+
+
+def read_bytes(name: str, start: int, stop: int) -> bytes:
+    """The bytes [start, stop) of a file named as Spark names it; only these are read."""
     from urllib.parse import unquote, urlparse
 
-    return unquote(urlparse(name).path) if name.startswith("file:") else name
+    url = urlparse(name)
+    if url.scheme in ("", "file"):
+        root, path = "", unquote(url.path) if url.scheme else name
+    else:
+        root, path = f"{url.scheme}://{url.netloc}/", url.path if url.scheme in ("hdfs", "viewfs") else url.netloc + url.path
+    with _file_system(root).open_input_file(path) as f:
+        f.seek(start)
+        return f.read(stop - start)
 
 
 def read_pieces(pieces: DataFrame) -> DataFrame:
@@ -232,9 +260,7 @@ def read_pieces(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for name, a, b in zip(*(batch.column(c).to_pylist() for c in ("path", "start_byte", "end_byte"))):
-                with open(_local(name), "rb") as f:
-                    f.seek(a)
-                    texts.append(f.read(b - a).decode("utf-8", "replace"))
+                texts.append(read_bytes(name, a, b).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
