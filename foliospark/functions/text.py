@@ -63,17 +63,60 @@ def zero_fill(c: Column, width: int) -> Column:
     return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
 
 
+def running_sums(numbers: Column) -> Column:
+    """array<int>: the sum of all numbers up to each, itself included.
+
+    By blocks of about the square root of their number, so that long arrays cost little more than short ones for each number.
+    """
+
+    def sums(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        total = lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+        blocks = F.transform(F.sequence(F.lit(0), width - 1), lambda k: total(F.slice(a, k * width + 1, width)))
+        before = lambda at: F.transform(F.sequence(F.lit(0), width - 1), lambda k: total(F.slice(at, F.lit(1), k)))
+
+        def all_of(offsets: Column) -> Column:
+            return F.transform(a, lambda _, i: F.get(offsets, F.floor(i / width).cast("int")) + total(F.slice(a, F.floor(i / width).cast("int") * width + 1, i % width + 1)))
+
+        # Bound as variables: written out, they would be made again for each number.
+        return F.flatten(F.transform(F.transform(F.array(blocks), before), all_of))
+
+    return F.when(F.size(numbers) > 0, F.flatten(F.transform(F.array(numbers), sums))).otherwise(F.array().cast("array<int>"))
+
+
+def parts_at(text: Column, pattern: str) -> Column:
+    """array<string>: text cut before each match of pattern, whose first group must begin where the match does.
+
+    A mark is put before each match and the text is split there. A U+0001 of the text itself is taken for a space first.
+    """
+    return F.split(F.regexp_replace(F.translate(text, "\x01", " "), pattern, "\x01$1"), "\x01", -1)
+
+
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based code point offsets of all matches; pattern's first group must begin where the match does.
 
-    A mark is put before each match, the text is split there and the lengths are added up: offsets count code points, which
-    regexp_instr does not. A U+0001 of the text itself is taken for a space first, which changes no offset.
+    The lengths of the parts between matches are added up: offsets count code points, which regexp_instr does not.
     """
-    clean = F.translate(text, "\x01", " ")
-    lengths = F.transform(F.split(F.regexp_replace(clean, pattern, "\x01$1"), "\x01", -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all"))
-    return F.aggregate(lengths, start, step, lambda acc: F.slice(acc["all"], 1, F.greatest(F.size(acc["all"]) - 1, F.lit(0))))
+    lengths = F.transform(parts_at(text, pattern), F.length)
+    return F.when(text.isNotNull(), running_sums(F.slice(lengths, 1, F.size(lengths) - 1)))
+
+
+def heads(ascending: Column) -> Column:
+    """Every k-th number, k about the square root of how many there are: an index for first_above."""
+
+    def picked(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        return F.filter(a, lambda _, i: i % width == 0)
+
+    return F.flatten(F.transform(F.array(ascending), picked))
+
+
+def first_above(ascending: Column, index: Column, bound: Column) -> Column:
+    """The first of the ascending numbers that is over bound, or null; index are their heads, so only one block is read."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(ascending))).cast("int"), F.lit(1))
+    block = F.size(F.filter(index, lambda h: h <= bound))
+    near = F.slice(ascending, F.greatest(block - 1, F.lit(0)) * width + 1, width + 1)
+    return F.array_min(F.filter(near, lambda x: x > bound))
 
 
 def summarize(c: Column, n: int = 240) -> Column:

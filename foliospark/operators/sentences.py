@@ -18,23 +18,22 @@ def split_sentences(text: Column) -> Column:
 def merge_fragments(sentences: Column, min_len: int = 25) -> Column:
     """Fragments under min_len wait and go before the next long sentence; what waits at the end comes last, by itself.
 
-    A fold inside the row: no sentence leaves it.
+    Each long sentence takes the stretch from the long one before it; no sentence leaves the row or is copied twice.
     """
-    joined = lambda buf, s: F.trim(F.concat_ws(" ", F.when(buf != "", buf), s))
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
 
-    def step(acc: Column, s: Column) -> Column:
-        short = F.length(s) < min_len
-        return F.struct(
-            F.when(short, acc["out"]).otherwise(F.concat(acc["out"], F.array(joined(acc["buf"], s)))).alias("out"),
-            F.when(short, joined(acc["buf"], s)).otherwise(F.lit("")).alias("buf"),
-        )
+    def merged(s: Column) -> Column:
+        long = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.length(F.get(s, i - 1)) >= min_len)
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["buf"] != "", F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
+        def joined(ends: Column) -> Column:
+            ends = F.when(F.element_at(F.concat(F.array(F.lit(0)), ends), -1) < F.size(s), F.concat(ends, F.array(F.size(s)))).otherwise(ends)
+            at = lambda e, k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
+            return F.transform(ends, lambda e, k: F.array_join(F.slice(s, at(e, k) + 1, e - at(e, k)), " "))
+
+        return F.flatten(F.transform(F.array(long), joined))
 
     clean = F.filter(F.transform(sentences, trim_ws), lambda s: s != "")
-    return F.aggregate(clean, zero, step, finish)
+    none = F.array().cast("array<string>")
+    return F.when(F.size(clean) > 0, F.flatten(F.transform(F.array(clean), merged))).otherwise(F.when(sentences.isNotNull(), none))
 
 
 def brand_weight(sentence: Column, threshold: float = 0.25) -> Column:

@@ -151,7 +151,7 @@ def q_doc_score_top1(spark, d):
 
 
 def _exploded_marks(spark, d):
-    return sections.with_marks(filing_texts(spark, d)).select("accession", "text", "_marks", F.explode("_marks").alias("m")).select("accession", "text", "_marks", "m.pos", "m.item")
+    return sections.with_marks(filing_texts(spark, d)).select("accession", "text", "_index", F.explode("_index.marks").alias("m")).select("accession", "text", "_index", "m.*")
 
 
 def q_marks(spark, d):
@@ -160,14 +160,12 @@ def q_marks(spark, d):
 
 def q_mark_screens(spark, d):
     text, pos = F.col("text"), F.col("pos")
-    return _exploded_marks(spark, d).select(
-        "accession", pos.cast("bigint").alias("pos"), sections.in_contents(text, pos).alias("toc"), sections.nearby_item(text, F.col("_marks"), pos).alias("near"), sections.cross_reference(text, pos).alias("cross_ref"), sections.relating(text, pos).alias("relating")
-    )
+    return _exploded_marks(spark, d).select("accession", pos.cast("bigint").alias("pos"), sections.in_contents(text, pos).alias("toc"), "near", sections.cross_reference(text, pos).alias("cross_ref"), sections.relating(text, pos).alias("relating"))
 
 
 def q_next_ender(spark, d):
     marks = _exploded_marks(spark, d)
-    end = F.coalesce(*[F.when(F.col("item") == k, sections.ender(F.col("text"), F.col("_marks"), F.col("pos"), k)) for k in HEADS])
+    end = F.coalesce(*[F.when(F.col("item") == k, sections.ender(F.col("text"), F.col("_index"), F.col("pos"), k)) for k in HEADS])
     return marks.where(F.col("item").isin(*HEADS)).select("accession", F.col("pos").cast("bigint").alias("pos"), end.cast("bigint").alias("ends_at"))
 
 
