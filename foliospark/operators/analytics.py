@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def register(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A temporary view over a Parquet path, replaced if it is there."""
-    df = spark.read.parquet(path)
-    df.createOrReplaceTempView(name)
-    return df
+def register(spark: SparkSession, name: str, path: str, *, persistent: bool = False) -> DataFrame:
+    """A view over a Parquet path, replaced if it is there: temporary, or a table of the session's catalog that only points there."""
+    if not persistent:
+        df = spark.read.parquet(path)
+        df.createOrReplaceTempView(name)
+        return df
+    quoted = "`" + name.replace("`", "``") + "`"
+    spark.sql(f"drop table if exists {quoted}")  # an external table: the files stay
+    spark.sql(f"create table {quoted} using parquet location '{path}'")
+    return spark.table(quoted)
+
+
+def try_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | None]:
+    """(result, None), or (None, the first line of the error) for a query that cannot be parsed or planned."""
+    try:
+        return spark.sql(text), None
+    except PySparkException as e:
+        return None, str(e).strip().split("\n")[0]
 
 
 def row_count(df: DataFrame) -> DataFrame:

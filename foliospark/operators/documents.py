@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark.functions import patterns as P
 from foliospark.functions.text import collapse_ws, trim_ws
@@ -78,33 +77,68 @@ class _Nodes(HTMLParser):
             self.parts.append(data)
 
 
-def _nodes(html: str) -> str:
+def _html_nodes(page: str) -> str:
     parser = _Nodes()
-    parser.feed(html)
+    parser.feed(page)
     parser.close()
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf(StringType())
-def _node_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for page in pages:
-        yield page.map(_nodes, na_action="ignore")
+def _xml_nodes(page: str) -> str:
+    """The text nodes of an XML page, CDATA included; the HTML parser's where the page is not well-formed."""
+    from xml.parsers import expat
+
+    nodes, reader = _Nodes(), expat.ParserCreate()
+    reader.buffer_text = True
+    reader.StartElementHandler = nodes.handle_starttag
+    reader.EndElementHandler = nodes.handle_endtag
+    reader.CharacterDataHandler = nodes.handle_data
+    try:
+        reader.Parse(re.sub(r"^\s*<\?xml.*?\?>", "", page, count=1, flags=re.DOTALL), True)  # the page is text already, whatever encoding it names
+    except expat.ExpatError:
+        return _html_nodes(page)
+    return "\n".join(nodes.parts)
+
+
+def _guarded(page: str, xml: bool) -> tuple[str | None, str | None]:
+    """(text, None), or (None, what went wrong): a page that cannot be parsed stops no job."""
+    try:
+        return (_xml_nodes if xml else _html_nodes)(page), None
+    except Exception as e:  # whatever a parser raises is about this page alone
+        return None, f"{type(e).__name__}: {e}"
+
 
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
+def _parsed(pages: pd.Series, xml: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if page is None else _guarded(page, bool(x)) for page, x in zip(pages, xml)]
+    return pd.DataFrame(rows, columns=["text", "error"], dtype="object")
 
-def document_lines(html: Column) -> Column:
+
+def parse_page(page: Column) -> Column:
+    """struct<text, error>: the text of a page by the parser that suits it (see looks_like_xml), before it is tidied.
+
+    A null page has neither text nor error; a page whose parser fails has an error and no text.
+    """
+    return _parsed(page, F.coalesce(looks_like_xml(page), F.lit(False)))
+
+
+def document_lines(page: Column) -> Column:
     """The lines of a page by a real parser: its text nodes joined by line feeds, entities resolved, then tidied."""
-    return tidy_lines(_node_text(html))
+    return tidy_lines(parse_page(page)["text"])
 
 
 def looks_like_xml(text: Column) -> Column:
-    """An XML prolog at the start, an xbrl tag, or a document of type XML near the start."""
-    head = F.substring(text, 1, 2000)
-    return F.regexp_replace(head, r"(?U)^\s+", "").startswith("<?xml") | head.rlike(r"(?i)<xbrl") | head.rlike(r"(?i)<DOCUMENT>\s*<TYPE>XML")
+    """An XML prolog after white space, an xbrl tag or prefix, or a document tag whose type is XML, wherever it stands."""
+    return text.rlike(P.XML_PROLOG) | text.rlike(P.XBRL_TAG) | text.rlike(P.XML_DOCUMENT)
 
 
 def decode_page(content: Column) -> Column:
-    """Bytes as UTF-8 without the bytes that are none (a U+FFFD of the page itself goes with them)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """Bytes as UTF-8 without the bytes that are none; a U+FFFD of the page itself stays.
+
+    It stands as two noncharacters, which no text has, while the invalid bytes are taken out.
+    """
+    held = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\ufdd0\ufdd1"))
+    return F.replace(F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0\ufdd1"), F.lit("\ufffd"))
 
 
 def page_score(text: Column, size: Column, name: Column, *, short: int = 10_000, good_terms=P.GOOD_TERMS, headers=P.TARGET_HEADERS, bad_names=P.BAD_NAME_HINTS) -> Column:
@@ -121,6 +155,11 @@ def page_score(text: Column, size: Column, name: Column, *, short: int = 10_000,
 
 
 def best_page(pages: DataFrame, keys: list[str], *, score_col: str = "score", tie_col: str = "path") -> DataFrame:
-    """One page for each of keys: the best score, of equal ones the least tie_col."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score_col), F.asc(tie_col))
-    return pages.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """One page for each of keys: the best score, of equal ones the least tie_col. All columns of pages are aggregated.
+
+    Where pages hold texts, choose among their keys, scores and paths alone and read the winners afterwards.
+    """
+    rest = [c for c in pages.columns if c not in (*keys, score_col, tie_col)]
+    row = F.struct((-F.col(score_col)).alias("a"), F.col(tie_col).alias("t"), *[F.col(c) for c in rest])
+    best = pages.groupBy(*keys).agg(F.min(row).alias("r"))
+    return best.select(*keys, (-F.col("r.a")).alias(score_col), F.col("r.t").alias(tie_col), *[F.col("r")[c].alias(c) for c in rest]).select(*pages.columns)

@@ -111,7 +111,11 @@ def prepare(silver: DataFrame, *, columns: dict[str, str] | None = None, items:
 
 def unscored(sections: DataFrame, done: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
     """Only the sections whose keys are not in done yet, before any text is worked on."""
-    return sections if done is None else sections.join(done.select(*keys), keys, "left_anti")
+    if done is None:
+        return sections
+    there = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys]  # a null ticker or year is a key like any other
+    return sections.join(there, same, "left_anti")
 
 
 def explode_sentences(sections: DataFrame, *, collapsed: bool, min_len: int = 25, threshold: float = 0.25) -> DataFrame:
@@ -144,13 +148,12 @@ def sentence_rows(scored: DataFrame, *, model: str, collapsed: bool) -> DataFram
     )
 
 
-def score_sections(
+def scored_sentences(
     silver: DataFrame,
     *,
     aliases: DataFrame | None = None,
     done: DataFrame | None = None,
     make_scorer: Callable[[], Scorer] | None = None,
-    model: str = "lexicon",
     columns: dict[str, str] | None = None,
     items: tuple[str, ...] = ("1A", "7"),
     collapse: bool = False,
@@ -158,18 +161,25 @@ def score_sections(
     cap: int = 3,
     threshold: float = 0.25,
     min_len: int = 25,
-    temperature: float | None = None,
     batch_size: int = 32,
-) -> tuple[DataFrame, DataFrame]:
-    """(section rows, sentence rows). Blank texts and texts without sentences give none. Without make_scorer the lexicon scores."""
+) -> DataFrame:
+    """Every sentence with its weight and probabilities. Blank texts and texts without sentences give none.
+
+    Without make_scorer the lexicon scores. Write the result where both section and sentence rows are made from it, so that a
+    model sees each sentence once.
+    """
     rows = unscored(prepare(silver, columns=columns, items=items), done)
     if collapse:
         rows = rows.withColumn("_key", F.xxhash64(*KEYS))
         known = aliases if aliases is not None else rows.sparkSession.createDataFrame([], "ticker string, alias string")
         rows = collapse_entities(rows, known, "_key", heuristic_min=heuristic_min, cap=cap)
     sentences = explode_sentences(rows, collapsed=collapse, min_len=min_len, threshold=threshold)
-    if make_scorer is None:
-        scored = sentences.withColumn("_p", lexicon_probabilities(F.col("sentence"))).select("*", "_p.pos", "_p.neu", "_p.neg").drop("_p")
-    else:
-        scored = score_with(sentences, make_scorer, batch_size=batch_size)
+    if make_scorer is not None:
+        return score_with(sentences, make_scorer, batch_size=batch_size)
+    return sentences.withColumn("_p", lexicon_probabilities(F.col("sentence"))).select("*", "_p.pos", "_p.neu", "_p.neg").drop("_p")
+
+
+def score_sections(silver: DataFrame, *, model: str = "lexicon", temperature: float | None = None, collapse: bool = False, threshold: float = 0.25, **how) -> tuple[DataFrame, DataFrame]:
+    """(section rows, sentence rows), both from scored_sentences, whose options the others are."""
+    scored = scored_sentences(silver, collapse=collapse, threshold=threshold, **how)
     return aggregate_sections(scored, model=model, collapsed=collapse, threshold=threshold, temperature=temperature), sentence_rows(scored, model=model, collapsed=collapse)

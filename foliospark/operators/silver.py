@@ -20,6 +20,20 @@ def covered(item_1a: Column, item_7: Column) -> Column:
     return F.coalesce(item_1a == 1, F.lit(False)) & F.coalesce(item_7 == 1, F.lit(False))
 
 
+def fill_skipped(report: DataFrame, bronze: DataFrame) -> DataFrame:
+    """report with the rows of status SKIP_EXISTS as OK, their flags item_* from the sections that bronze has of their year.
+
+    A skipped year says nothing about its sections, but they are there; so parsing again changes no coverage.
+    """
+    flags = [c for c in report.columns if c.lower().startswith("item_")]
+    label = {c: c[5:].upper() for c in flags}
+    has = bronze.select("ticker", "year", norm_label(F.col("section")).alias("key")).groupBy("ticker", "year").agg(*[F.max((F.col("key") == label[c]).cast("int")).alias(f"_has_{c}") for c in flags])
+    rows = report.join(has.withColumns({"ticker": F.col("ticker").cast("string"), "year": F.col("year").cast("int")}), ["ticker", "year"], "left")
+    skipped = (F.col("status") == "SKIP_EXISTS") & F.coalesce(*[F.col(f"_has_{c}") for c in flags]).isNotNull()
+    filled = {c: F.when(skipped, F.col(f"_has_{c}")).otherwise(F.col(c)) for c in flags} | {"status": F.when(skipped, F.lit("OK")).otherwise(F.col("status"))}
+    return rows.select(*[filled.get(c, F.col(c)).alias(c) for c in report.columns])
+
+
 def coverage(report: DataFrame, *, years: list[int] | None = None, item_1a: str = "item_1a", item_7: str = "item_7") -> DataFrame:
     """(ticker, years_total, years_ok_1a7) of the report rows with status OK; rows, not years, count as ok; null tickers are left out."""
     missing = {"ticker", "year", "status", item_1a, item_7} - set(report.columns)
@@ -89,7 +103,7 @@ def compose(sections: DataFrame, keys: list[str], *, carry_1: int = 800, carry_7
 
 def build_silver(report: DataFrame, bronze: DataFrame, *, years: list[int] | None = None, min_years: int = 4, carry_1: int = 800, carry_7a: int = 800, min_chars: int = 800) -> DataFrame:
     """The section dataset of the covered tickers, in the silver schema's columns."""
-    keep = covered_tickers(coverage(report, years=years), min_years=min_years)
+    keep = covered_tickers(coverage(fill_skipped(report, bronze), years=years), min_years=min_years)
     rows = bronze.join(keep, "ticker", "left_semi")
     if years:
         rows = rows.where(F.col("year").isin(sorted(set(years))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions import patterns as P
 from foliospark.functions import text as T
 from foliospark.operators import analytics, documents, entities, scoring, sections, sentences, silver
 from foliospark.plans import oracle
@@ -61,16 +62,19 @@ def q_in_filter(spark, d):
     return _t(spark, d, "documents").where(F.col("item").isin("1A", "7")).select("doc_id", "item")
 
 
-_LABELS = ["1A.", "item 15", "Item-7A", "Item 7", "ITEM_1A: Risk", " item 1 ", "item1", "7a", "Item 10", "", "Overview", None]
-_ITEMS = ["Item 1A", "ITEM 7.", "1.", "7a", "item 10", "ITEM1A.", " 7 ", "", None]
+def _spellings(spark, d):
+    """(doc_id, k, raw): the items of documents as they are and in other spellings, and the sources."""
+    item = F.col("item")
+    raw = F.array(item, F.concat(F.lit("Item "), item, F.lit(".")), F.concat(F.lit(" item-"), F.lower(item)), F.concat(F.lit("ITEM_"), item, F.lit(": Risk")), F.concat(F.lit("ITEM"), item, F.lit(".")), "source")
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(raw).alias("k", "raw")).select("doc_id", F.col("k").cast("bigint").alias("k"), "raw")
 
 
 def q_norm_label(spark, d):
-    return spark.createDataFrame(list(enumerate(_LABELS)), "k bigint, raw string").select("k", T.norm_label(F.col("raw")).alias("label"))
+    return _spellings(spark, d).select("doc_id", "k", T.norm_label(F.col("raw")).alias("label"))
 
 
 def q_norm_item(spark, d):
-    return spark.createDataFrame(list(enumerate(_ITEMS)), "k bigint, raw string").select("k", T.norm_item(F.col("raw")).alias("item"))
+    return _spellings(spark, d).select("doc_id", "k", T.norm_item(F.col("raw")).alias("item"))
 
 
 def q_coverage_summary(spark, d):
@@ -140,7 +144,11 @@ def q_html_lines(spark, d):
 
 
 def q_html_parsed(spark, d):
-    return _pages(spark, d).select("doc_id", documents.document_lines(F.col("html")).alias("lines"))
+    """The lines of pages in which every text is escaped: HTML for two of three documents, XML for the others."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<html><head><style>p { x }</style><script>var a = 1;</script></head><body><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p>\n<br/><p>")), F.lit("</p></body></html>"))
+    page = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<?xml version='1.0' encoding='ascii'?>"), body)).otherwise(body)
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", F.md5(documents.document_lines(page)).alias("digest"))
 
 
 def q_doc_score_top1(spark, d):
@@ -175,7 +183,8 @@ def q_candidates(spark, d):
 
 
 def q_diagnose(spark, d):
-    return sections.diagnose(filing_texts(spark, d), "accession", top_k=5)
+    out = sections.diagnose(filing_texts(spark, d), "accession", top_k=5)
+    return out.select("accession", "label", "preview", *[F.col(c).cast("bigint").alias(c) for c in ("n_raw", "n_candidates", "rank", "start", "span_len", "score")])
 
 
 def q_best_span(spark, d):
@@ -214,24 +223,30 @@ def q_alias_collapse(spark, d):
 
 
 def q_brand_density(spark, d):
-    s = "<BRAND> sold <BRAND>|no brand here|<BRAND>|<BRAND> one two three|<BRAND>s and <BRAND>'s now"
-    rows = spark.range(1).select(F.explode(F.split(F.lit(s), r"\|")).alias("sentence"))
-    return rows.select("sentence", F.round(sentences.brand_weight(F.col("sentence")), 6).alias("weight"))
+    """Weights of the sentences of all documents, the word "the" standing for mentions that were collapsed."""
+    text = F.regexp_replace("text", r"\b[Tt]he\b", P.PLACEHOLDER)
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(sentences.split_sentences(text)).alias("k", "sentence"))
+    return rows.select("doc_id", F.col("k").cast("bigint").alias("k"), F.round(sentences.brand_weight(F.col("sentence")), 6).alias("weight"))
 
 
 def _scored(spark, d, **how):
     return scoring.score_sections(_t(spark, d, "documents"), **how)
 
 
+def _micro(c):
+    """In whole millionths, so that no engine's rounding of halves plays a part."""
+    return F.floor(F.col(c) * 1e6 + 1e-3).alias(f"{c.removesuffix('_mean')}_micro")
+
+
 def q_section_scores(spark, d):
     out, _ = _scored(spark, d)
-    means = [F.round(c, 6).alias(c) for c in ("pos_mean", "neu_mean", "neg_mean", "polarity")]
+    means = [_micro(c) for c in ("pos_mean", "neu_mean", "neg_mean", "polarity")]
     return out.select("ticker", "fiscal_year", "filing_date", "accession", "item", F.col("n_sentences").cast("bigint").alias("n_sentences"), *means, "label")
 
 
 def q_section_scores_tuned(spark, d):
     out, _ = _scored(spark, d, temperature=0.85)
-    return out.select("accession", "item", *[F.round(c, 6).alias(c) for c in ("pos_mean", "neu_mean", "neg_mean")], "label")
+    return out.select("accession", "item", *[_micro(c) for c in ("pos_mean", "neu_mean", "neg_mean")], "label")
 
 
 def q_section_scores_collapsed(spark, d):
@@ -247,9 +262,9 @@ def q_sentence_scores(spark, d):
 def q_gold_weighted(spark, d):
     """Section means made again from the older scorer's sentences, repeated rows once."""
     rows = _t(spark, d, "finbert_sentence_scores").where("pos is not null and neu is not null and neg is not null").select("accession", "item", "sent_idx", "sentence", "pos", "neu", "neg", "weight").distinct()
-    # In whole millionths, so that no engine's rounding of halves plays a part.
-    mean = lambda c: F.floor(F.sum(F.col(c) * F.col("weight")) / F.sum("weight") * 1e6 + 1e-3).alias(f"{c}_micro")
-    return rows.groupBy("accession", "item").agg(F.count("*").alias("n"), mean("pos"), mean("neu"), mean("neg"))
+    same = rows.withColumns({"ticker": F.lit(""), "fiscal_year": F.lit(0), "filing_date": F.lit("")})  # those of the table differ within a section
+    out = scoring.aggregate_sections(same, model="older", collapsed=True, threshold=0.25, temperature=None)
+    return out.select("accession", "item", F.col("n_sentences").cast("bigint").alias("n"), *[_micro(c) for c in ("pos_mean", "neu_mean", "neg_mean")])
 
 
 def q_retune_neutral(spark, d):
@@ -297,7 +312,13 @@ def q_safe_name(spark, d):
 
 
 def q_xml_sniff(spark, d):
-    pages = _pages(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n <?xml version='1.0'?>"), F.col("html"))).otherwise(F.col("html")).alias("page"))
+    """Pages of seven kinds, whatever marks them standing before, behind or within the whole text."""
+    page = F.concat(F.lit("<html><p>"), F.col("text"), F.lit("</p></html>"))
+    kinds = [
+        F.concat(F.lit("\n <?xml version='1.0'?>"), page), F.concat(page, F.lit("<XBRL >")), F.concat(page, F.lit("<xbrli:context>")), F.concat(page, F.lit("<DOCUMENT n='1' type='XML'>")),
+        F.concat(page, F.lit("</document TYPE=\"xml\">")), F.concat(page, F.lit("<DOCUMENT>\n<TYPE>XML <xbrlfoo>")), page,
+    ]
+    pages = _t(spark, d, "documents").where("text is not null").select("doc_id", F.get(F.array(*kinds), (F.col("doc_id") % len(kinds)).cast("int")).alias("page"))
     return pages.select("doc_id", documents.looks_like_xml(F.col("page")).alias("xml"))
 
 

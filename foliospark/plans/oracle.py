@@ -1,8 +1,28 @@
-"""DuckDB SQL that says what the registered queries must return."""
+"""DuckDB SQL that says what the registered queries must return. Its patterns and lists are written out here, not the engine's."""
 
 from __future__ import annotations
 
-from foliospark.functions import patterns as P
+# --- fixed values, for DuckDB's patterns ---
+AT_START = r"(?i)^Item[\s\x{A0}]*([0-9]{1,2}[A-C]?)\b"
+ENDERS = {"1": "'1A', '1B', '2'", "1A": "'1B', '2'", "7": "'7A', '8'", "7A": "'8'"}
+CONTENTS = r"(?i)\bTable of Contents\b"
+CROSS_REFERENCE = r"(?i)\b(see|refer to|as discussed in)\b|(of|in)\s+Part\s+[IVXLC]+\b"
+RELATING = r"(?i)\b(relating to|related to|with respect to)\b"
+ANCHORS = {
+    "1": (r"\bBusiness\b", r"\bOverview\b"),
+    "1A": ("Risk Factors", "material risks", "could adversely affect"),
+    "7": ("Management.?s Discussion", "Results of Operations", "Liquidity and Capital Resources", "Critical Accounting"),
+    "7A": ("Quantitative and Qualitative", "Market Risk", "Interest Rate Risk", "Foreign Currency", "Commodity Price"),
+}
+GOOD_TERMS = (r"(?i)\bFORM\s*10[-\s]*K\b", r"(?i)\bANNUAL\s+REPORT\b")
+BAD_NAME_HINTS = ("index", "cover", "toc", "table", "summary", "xbrl", "xml", "exhibit", "wrap", "presentation", "press")
+NO_BRANDS = ("United States", "U.S.", "US", "USA", "SEC", "GAAP", "IFRS", "FASB", "OECD", "NYSE", "NASDAQ", "S&P", "Moody''s", "Fitch", "COVID-19", "LIBOR", "SOFR")
+POSITIVE = "gain gains growth improved increase increased profit strong favorable expanded accelerated stable robust recovered"
+NEGATIVE = "loss losses decline decreased impaired risk adverse weak delayed dispute abrupt volatile contested curtailed"
+NEVER_ENDS = r"Mr|Mrs|Ms|Messrs|Dr|Prof|Rev|Hon|Gen|Sen|Rep|Gov|St|vs|cf|approx|e\.g|i\.e|et al|Reg|Ref|Ex|Vol|pp"
+BEFORE_FIGURES = r"No|Nos|Note|Item|Art|Sec|Fig|Figs|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+MAY_END = r"Inc|Corp|Co|Ltd|LLC|Jr|Sr|U\.S|U\.K|U\.S\.A|etc"
+OPENERS = r"The|A|An|We|Our|It|Its|This|These|That|They|Their|He|She|In|On|At|As|For|If|When|While|However|There|No|All|Each|Such|Any"
 
 #: White space as in Unicode.
 WS = r"[\s\x{0B}\x{85}\p{Z}]"
@@ -20,13 +40,8 @@ def _case(c: str, kinds: dict[str, str]) -> str:
     return f"case {c} " + " ".join(f"when '{k}' then {v}" for k, v in kinds.items()) + " end"
 
 
-def _re(p: str) -> str:
-    return p.replace("\\xA0", "\\x{A0}").replace("'", "''")
-
-
 HEADS = {"1": "'Item 1. Business'", "1A": "'Item 1A. Risk Factors'", "7": "'Item 7. Results of Operations'", "7A": "'Item 7A. Market Risk'"}
 LEAST = {"1": "300", "1A": "300", "7": "300", "7A": "200"}
-AT_START = _re(P.ITEM_AT_START)
 
 FILINGS = f"""
 with f as (select accession, string_agg({_case('item', HEADS)} || chr(10) || text, chr(10) || chr(10) order by item, doc_id) as text
@@ -34,26 +49,26 @@ with f as (select accession, string_agg({_case('item', HEADS)} || chr(10) || tex
 p as (select accession, text, string_split(regexp_replace(text, '(?i)(\\bItem[\\s\\x{{A0}}]*[0-9])', chr(1) || '\\1', 'g'), chr(1)) as parts from f),
 i as (select accession, text, parts, unnest(range(1, len(parts))) as i from p),
 m0 as (select accession, text, list_sum(list_transform(parts[1:i], lambda x: length(x)))::bigint as pos from i),
-m as (select *, upper(regexp_extract(substr(text, pos + 1, 80), '{AT_START}', 1)) as item from m0)
+m as (select *, upper(regexp_extract(substr(text, pos + 1), '{AT_START}', 1)) as item from m0)
 """
 
 SCREENS = f"""
 , n as (select distinct a.accession, a.pos from m a join m b on a.accession = b.accession and b.pos > a.pos and b.pos < a.pos + 400
         where regexp_matches(substr(a.text, b.pos + 1, a.pos + 400 - b.pos), '{AT_START}')),
-s as (select m.*, pos < floor(length(text) * 0.05) and regexp_matches(substr(text, greatest(pos - 250, 0) + 1, pos + 250 - greatest(pos - 250, 0)), '{_re(P.CONTENTS)}') as toc,
+s as (select m.*, pos < floor(length(text) * 0.05) and regexp_matches(substr(text, greatest(pos - 250, 0) + 1, pos + 250 - greatest(pos - 250, 0)), '{CONTENTS}') as toc,
       (accession, pos) in (select (accession, pos) from n) as near,
-      regexp_matches(substr(text, pos + 1, 220), '{_re(P.CROSS_REFERENCE)}') as cross_ref,
-      regexp_matches(substr(text, pos + 1, 100), '{_re(P.RELATING)}') as relating from m)
+      regexp_matches(substr(text, pos + 1, 220), '{CROSS_REFERENCE}') as cross_ref,
+      regexp_matches(substr(text, pos + 1, 100), '{RELATING}') as relating from m)
 """
 
-_enders = " or ".join(f"(a.item = '{k}' and b.item in ({', '.join(repr(x) for x in v)}))" for k, v in P.ENDERS.items())
+_enders = " or ".join(f"(a.item = '{k}' and b.item in ({v}))" for k, v in ENDERS.items())
 ENDS = f"""
 , e as (select a.accession, a.pos, coalesce(min(b.pos) filter ({_enders}), min(b.pos) filter (b.item <> ''), any_value(length(a.text)))::bigint as ends_at
         from m a left join m b on a.accession = b.accession and b.pos > a.pos where a.item in ('1', '1A', '7', '7A') group by a.accession, a.pos)
 """
 
-_anchors = " + ".join(f"case when item = '{k}' and regexp_matches(w, '{_re(p)}') then 200 else 0 end" for k, v in P.ANCHORS.items() for p in v)
-_anchor7 = " or ".join(f"regexp_matches(w5, '{_re(p)}')" for p in P.ANCHORS["7"])
+_anchors = " + ".join(f"case when item = '{k}' and regexp_matches(w, '(?i){p}') then 200 else 0 end" for k, v in ANCHORS.items() for p in v)
+_anchor7 = " or ".join(f"regexp_matches(w5, '(?i){p}')" for p in ANCHORS["7"])
 CANDIDATES = f"""
 , k as (select s.*, e.ends_at, case when item = '7A' then not toc and not near else not toc and not near and not cross_ref and not relating end as strict
         from s join e using (accession, pos)),
@@ -92,26 +107,48 @@ STRIP = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*
 STRIPPED = trim(f"regexp_replace({STRIP}, '{WS}+', ' ', 'g')")
 
 
+def _tidy(c: str) -> str:
+    c = f"replace({c}, chr(13), chr(10))"
+    c = rf"regexp_replace({c}, '[ \t\f\x{{0B}}]+', ' ', 'g')"
+    c = rf"regexp_replace({c}, '\n[ \t\f\x{{0B}}]+', chr(10), 'g')"
+    return trim(rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 def _lines() -> str:
     c = "html"
     for part in ("script", "style", "noscript"):
         c = f"regexp_replace({c}, '(?is)<{part}[^>]*>.*?</{part}>', '', 'g')"
-    c = f"replace(regexp_replace({c}, '(?s)<[^>]*>', chr(10), 'g'), chr(13), chr(10))"
-    c = rf"regexp_replace({c}, '[ \t\f\x{{0B}}]+', ' ', 'g')"
-    c = rf"regexp_replace({c}, '\n[ \t\f\x{{0B}}]+', chr(10), 'g')"
-    return trim(rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+    return _tidy(f"regexp_replace({c}, '(?s)<[^>]*>', chr(10), 'g')")
 
 
-_good = " + ".join(f"case when regexp_matches(text, '{_re(p)}') then 10000 else 0 end" for p in P.GOOD_TERMS)
-_bad = " + ".join(f"case when contains(lower(coalesce(source, '')), '{h}') then 3000 else 0 end" for h in P.BAD_NAME_HINTS)
+_good = " + ".join(f"case when regexp_matches(text, '{p}') then 10000 else 0 end" for p in GOOD_TERMS)
+_bad = " + ".join(f"case when contains(lower(coalesce(source, '')), '{h}') then 3000 else 0 end" for h in BAD_NAME_HINTS)
 #: RE2 has no lookahead; before a word boundary these say the same, but for 7, which may not be followed by A as a word.
 _hits = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in (r"(?i)\bItem[\s\x{A0}]*1\b", r"(?i)\bItem[\s\x{A0}]*1A\b", r"(?i)\bItem[\s\x{A0}]*7", r"(?i)\bItem[\s\x{A0}]*7A\b")) + r" - len(regexp_extract_all(text, '(?i)\bItem[\s\x{A0}]*7A\b'))"
 
-_mark = r"regexp_replace(text, '([.!?])[ \t\n\r\f\x{0B}]+', '\1' || chr(1), 'g')"
-SENTENCES = f"""
-with z as (select *, list_filter(list_transform(string_split({_mark}, chr(1)), lambda x: {trim('x')}), lambda x: x <> '') as s from documents where text is not null),
+_SPACE = r"[ \t\n\r\f\x{0B}]"
+_BEFORE = r"""(^|[ \t\n\r\f\x{0B}("\[])"""
+
+
+def _marked(c: str) -> str:
+    """c with U+0001 where a sentence ends, U+0002 and U+0003 for the full stops of abbreviations."""
+    for _ in range(2):
+        c = rf"regexp_replace({c}, '{_BEFORE}({NEVER_ENDS})\.({_SPACE})', '\1\2' || chr(2) || '\3', 'g')"
+        c = rf"regexp_replace({c}, '{_BEFORE}({BEFORE_FIGURES})\.({_SPACE}+[0-9])', '\1\2' || chr(2) || '\3', 'g')"
+        c = rf"regexp_replace({c}, '{_BEFORE}({MAY_END})\.({_SPACE})', '\1\2' || chr(3) || '\3', 'g')"
+    c = rf"regexp_replace({c}, chr(3) || '({_SPACE}+)({OPENERS})([^A-Za-z0-9_]|$)', '.\1\2\3', 'g')"
+    return rf"regexp_replace({c}, '([.!?]){_SPACE}+', '\1' || chr(1), 'g')"
+
+
+def _sentences(c: str) -> str:
+    part = trim("replace(replace(x, chr(2), '.'), chr(3), '.')")
+    return f"""
+with z as (select *, list_filter(list_transform(string_split({_marked(c)}, chr(1)), lambda x: {part}), lambda x: x <> '') as s from documents where text is not null),
 e as (select * exclude s, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as k from z)
 """
+
+
+SENTENCES = _sentences("text")
 MERGED = """
 , g as (select *, coalesce(sum((length(sentence) >= 25)::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as grp from e),
 h as (select doc_id, any_value(ticker) as ticker, any_value(fiscal_year) as fiscal_year, any_value(filing_date) as filing_date, any_value(accession) as accession, any_value(item) as item, grp, string_agg(sentence, ' ' order by k) as sentence from g group by doc_id, grp),
@@ -119,17 +156,21 @@ w as (select * exclude grp, (row_number() over (partition by doc_id order by grp
 """
 
 
-def _words(words: tuple[str, ...]) -> str:
-    return f"len(list_filter(string_split_regex(lower(sentence), '[^a-z]+'), lambda x: x in ({', '.join(repr(w) for w in words)})))"
+def _words(words: str) -> str:
+    return f"len(list_filter(string_split_regex(lower(sentence), '[^a-z]+'), lambda x: x in ({', '.join(repr(w) for w in words.split())})))"
 
 
 SCORED = SENTENCES + MERGED + f"""
-, v as (select w.*, {_words(P.POSITIVE_WORDS)} as a, {_words(P.NEGATIVE_WORDS)} as b from w where ticker is not null and fiscal_year is not null and item in ('1A', '7')),
+, v as (select w.*, {_words(POSITIVE)} as a, {_words(NEGATIVE)} as b from w where item in ('1A', '7')),
 y as (select *, a / (a + b + 2.0)::double as pos, 2.0 / (a + b + 2.0)::double as neu, b / (a + b + 2.0)::double as neg from v),
 t as (select ticker, fiscal_year, filing_date, accession, item, count(*) as n_sentences, avg(pos) as p, avg(neu) as u, avg(neg) as n from y group by 1, 2, 3, 4, 5)
 """
 
 
+def _micro(c: str) -> str:
+    return f"floor({c} * 1e6::double + 1e-3::double)::bigint"
+
+
 def _label(p: str, u: str, n: str) -> str:
     return f"case when {p} >= {u} and {p} >= {n} then 'positive' when {u} >= {n} then 'neutral' else 'negative' end"
 
@@ -139,19 +180,19 @@ def _tuned(source: str, p: str, u: str, n: str, keys: str) -> str:
     return f"select {keys}, a / (a + b + c) as p, b / (a + b + c) as u, c / (a + b + c) as n from (select {keys}, {o(p)} as a, {o(u)} as b, {o(n)} as c from {source})"
 
 
-def _values(rows: list[str | None]) -> str:
-    return ", ".join(f"({k}, {'null' if r is None else repr(r)})" for k, r in enumerate(rows))
-
-
-_LABELS = ["1A.", "item 15", "Item-7A", "Item 7", "ITEM_1A: Risk", " item 1 ", "item1", "7a", "Item 10", "", "Overview", None]
-_ITEMS = ["Item 1A", "ITEM 7.", "1.", "7a", "item 10", "ITEM1A.", " 7 ", "", None]
+SPELLINGS = """
+with r as (select doc_id, [item, 'Item ' || item || '.', ' item-' || lower(item), 'ITEM_' || item || ': Risk', 'ITEM' || item || '.', source] as r from documents),
+u as (select doc_id, unnest(range(1, 7)) as i, r from r), w as (select doc_id, (i - 1)::bigint as k, r[i] as raw from u)
+"""
+#: What stands between two lines of a page in q_html_parsed: two ends of text nodes, the line feed itself, and the break.
+_FIVE = "replace(text, chr(10), repeat(chr(10), 5))"
 
 #: RE2 knows ASCII words only: letters, marks and figures beyond ASCII become underscores, which are word signs too.
 _WORDS = "line"
 for _kind in ("L", "M", "Nd", "Nl"):
     _WORDS = rf"regexp_replace({_WORDS}, '[^\x00-\x7F\P{{{_kind}}}]', '_', 'g')"
 
-_NOT = ", ".join("'" + x.replace("'", "''") + "'" for x in P.NO_BRANDS)
+_NOT = ", ".join(f"'{x}'" for x in NO_BRANDS)
 
 _FIRST = """(select p.price from px p where p.ticker = {t} and p.day between {d} and {d} + 6 order by p.day limit 1)"""
 
@@ -161,12 +202,12 @@ SQL = {
     "q_label_distribution": "select item, label, count(*) as n from finbert_section_scores group by 1, 2",
     "q_distinct_sorted": "select distinct ticker from finbert_section_scores where ticker is not null",
     "q_point_lookup": "select doc_id, ticker, item, n_chars from documents where ticker = 'KPCPQX' and item = '1A' order by doc_id limit 1",
-    "q_form_date_filter": "select ticker, form, filing_date, accession_number from submissions where form = '10-K' and try_strptime(filing_date, '%Y-%m-%d')::date between date '2020-01-01' and date '2024-12-31'",
+    "q_form_date_filter": "select ticker, form, filing_date, accession_number from submissions where form = '10-K' and coalesce(try_strptime(filing_date, '%Y-%m-%d'), try_strptime(filing_date, '%Y%m%d'))::date between date '2020-01-01' and date '2024-12-31'",
     "q_in_filter": "select doc_id, item from documents where item in ('1A', '7')",
-    "q_norm_label": f"""select k::bigint as k, case when contains(s, 'item 1a') or s in ('1a', 'item1a') then '1A' when contains(s, 'item 1') or s in ('1', 'item1') then '1'
+    "q_norm_label": SPELLINGS + f"""select doc_id, k, case when contains(s, 'item 1a') or s in ('1a', 'item1a') then '1A' when contains(s, 'item 1') or s in ('1', 'item1') then '1'
         when contains(s, 'item 7a') or s in ('7a', 'item7a') then '7A' when contains(s, 'item 7') or s in ('7', 'item7') then '7' else s end as label
-        from (select k, regexp_replace(lower(trim(coalesce(raw, 'none'))), '[\\s.\\-:_]+', ' ', 'g') as s from (values {_values(_LABELS)}) t(k, raw))""",
-    "q_norm_item": f"select k::bigint as k, case when s in ('1A.', '7.', '1.', '7A.') then s[:-2] else s end as item from (select k, trim(replace(replace(upper(raw), 'ITEM ', ''), 'ITEM', '')) as s from (values {_values(_ITEMS)}) t(k, raw))",
+        from (select doc_id, k, regexp_replace(lower({trim("coalesce(raw, 'none')")}), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}.\\-:_]+', ' ', 'g') as s from w)""",
+    "q_norm_item": SPELLINGS + f"select doc_id, k, case when s in ('1A.', '7.', '1.', '7A.') then s[:-2] else s end as item from (select doc_id, k, {trim("replace(replace(upper(raw), 'ITEM ', ''), 'ITEM', '')")} as s from w)",
     "q_coverage_summary": "select ticker, count(distinct year) as years_total, sum(case when item_1a = 1 and item_7 = 1 then 1 else 0 end)::bigint as years_ok_1a7 from parse_report where status = 'OK' and ticker is not null group by 1",
     "q_covered_tickers": "select ticker from parse_report where status = 'OK' and ticker is not null group by 1 having sum(case when item_1a = 1 and item_7 = 1 then 1 else 0 end) >= 3",
     "q_longest_per_group": "select ticker, item as key, length(text) as n, md5(text) as digest, src from (select ticker, item, coalesce(text, 'None') as text, source as src, row_number() over (partition by ticker, item order by length(coalesce(text, 'None')) desc, doc_id) as r from documents where ticker is not null) where r = 1",
@@ -199,17 +240,17 @@ SQL = {
     + ", coalesce(sum(n), 0)::bigint as chars_total from y group by 1",
     "q_sentence_split": SENTENCES + "select doc_id, k::bigint as k, sentence from e",
     "q_fragment_merge": SENTENCES + MERGED + "select doc_id, k, sentence from w",
-    "q_brand_density": """select sentence, round(case when not contains(sentence, '<BRAND>') or d <= 0.25 then 1.0::double else greatest(0.2::double, 1.0::double - (d - 0.25) * 1.2) end, 6) as weight
-        from (select sentence, len(list_filter(string_split(sentence, ' '), lambda x: contains(x, '<BRAND>')))::double / len(string_split(sentence, ' ')) as d from (select unnest(string_split('<BRAND> sold <BRAND>|no brand here|<BRAND>|<BRAND> one two three|<BRAND>s and <BRAND>''s now', '|')) as sentence))""",
-    "q_section_scores": SCORED + f"select ticker, fiscal_year, filing_date, accession, item, n_sentences, round(p, 6) as pos_mean, round(u, 6) as neu_mean, round(n, 6) as neg_mean, round(p - n, 6) as polarity, {_label('p', 'u', 'n')} as label from t",
-    "q_section_scores_tuned": SCORED + f"select accession, item, round(p, 6) as pos_mean, round(u, 6) as neu_mean, round(n, 6) as neg_mean, {_label('p', 'u', 'n')} as label from ({_tuned('t', 'p', 'u', 'n', 'accession, item')})",
+    "q_brand_density": _sentences(r"regexp_replace(text, '\b[Tt]he\b', '<BRAND>', 'g')")
+    + f""", t as (select doc_id, k, sentence, list_filter(string_split_regex(sentence, '{WS}+'), lambda x: x <> '') as t from e),
+        d as (select doc_id, k, sentence, len(list_filter(t, lambda x: contains(x, '<BRAND>')))::double / len(t) as d from t)
+        select doc_id, k::bigint as k, round(case when not contains(sentence, '<BRAND>') or d <= 0.25 then 1.0::double else greatest(0.2::double, 1.0::double - (d - 0.25) * 1.2) end, 6) as weight from d""",
+    "q_section_scores": SCORED + f"select ticker, fiscal_year, filing_date, accession, item, n_sentences, {_micro('p')} as pos_micro, {_micro('u')} as neu_micro, {_micro('n')} as neg_micro, {_micro('(p - n)')} as polarity_micro, {_label('p', 'u', 'n')} as label from t",
+    "q_section_scores_tuned": SCORED + f"select accession, item, {_micro('p')} as pos_micro, {_micro('u')} as neu_micro, {_micro('n')} as neg_micro, {_label('p', 'u', 'n')} as label from ({_tuned('t', 'p', 'u', 'n', 'accession, item')})",
     "q_sentence_scores": SCORED + f"select accession, item, k as sent_idx, sentence, round(pos, 6) as pos, round(neu, 6) as neu, round(neg, 6) as neg, {_label('pos', 'neu', 'neg')} as label from y",
     "q_gold_weighted": "select accession, item, count(*) as n, floor(sum(pos * weight) / sum(weight) * 1e6 + 1e-3)::bigint as pos_micro, floor(sum(neu * weight) / sum(weight) * 1e6 + 1e-3)::bigint as neu_micro, floor(sum(neg * weight) / sum(weight) * 1e6 + 1e-3)::bigint as neg_micro from (select distinct accession, item, sent_idx, sentence, pos, neu, neg, weight from finbert_sentence_scores where pos is not null and neu is not null and neg is not null) group by 1, 2",
     "q_retune_neutral": f"select accession, item, round(p, 6) as p, round(u, 6) as u, round(n, 6) as n, {_label('p', 'u', 'n')} as label from ({_tuned('finbert_section_scores where pos_mean is not null and neu_mean is not null and neg_mean is not null', 'pos_mean', 'neu_mean', 'neg_mean', 'accession, item')})",
     "q_json_navigate": "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.none') as none from events",
-    "q_zip_arrays": """with s as (select distinct ticker, accession_number, form, filing_date, primary_document from submissions where ticker is not null),
-        r as (select *, row_number() over (partition by ticker order by accession_number, form nulls first, filing_date nulls first, primary_document nulls first) as i, count(*) over (partition by ticker) as n from s)
-        select ticker, form, filing_date, accession_number, primary_document from r where i <= greatest(n - 1, 1)""",
+    "q_zip_arrays": "select distinct ticker, form, filing_date, accession_number, primary_document from submissions where ticker is not null",
     "q_document_urls": """select accession_number, 'https://example.org/data/' || ltrim(cik_str, '0') || '/' || replace(accession_number, '-', '') || '/' || primary_document as url,
         regexp_replace(concat_ws('_', ticker, filing_date, accession_number) || case when regexp_matches(primary_document, '\\.[^./]+$') then regexp_extract(primary_document, '(\\.[^./]+)$', 1) else '.html' end, '[^A-Za-z0-9._-]', '_', 'g') as name
         from submissions where primary_document is not null""",
@@ -221,8 +262,12 @@ SQL = {
     "q_windowed_counts": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "q_summarize": f"select doc_id, case when length(s) > 240 then substr(s, 1, 240) || '…' else s end as preview from (select doc_id, regexp_replace({trim('text')}, '{WS}+', ' ', 'g') as s from documents)",
     "q_safe_name": "select doc_id, regexp_replace(concat_ws('/', ticker, item, source), '[^A-Za-z0-9._-]', '_', 'g') as name from documents",
-    "q_xml_sniff": "select doc_id, doc_id % 2 = 0 or regexp_matches(substr(text, 1, 1900), '(?i)<xbrl') as xml from documents where text is not null",
-    "q_prepared_sections": f"select ticker, fiscal_year, item, fiscal_year || '-01-01' as filing_date, ticker || '-' || fiscal_year as accession, length(text) as n from documents where ticker is not null and fiscal_year is not null and item in ('1A', '7') and {trim('text')} <> ''",
+    "q_xml_sniff": """select doc_id, doc_id % 7 in (0, 1, 2, 3, 4) or regexp_matches(text, '(?i)<xbrli:|<xbrl[ >]') or regexp_matches(text, '(?i)</?document[^>]*type=[''"]xml[''"]') as xml from documents where text is not null""",
+    "q_html_parsed": f"select doc_id, md5({_tidy(_FIVE)}) as digest from documents where text is not null",
+    "q_diagnose": FILINGS + SCREENS + ENDS + CANDIDATES + f""", nr as (select accession, item as label, count(*) as n_raw from m group by 1, 2),
+        r as (select *, row_number() over (partition by accession, label order by score desc, len desc, ord) as rank, count(*) over (partition by accession, label) as n_candidates, regexp_replace({trim('substr(text, start + 1, least(300, len))')}, '{WS}+', ' ', 'g') as s from c)
+        select accession, label, n_raw, n_candidates, rank, start, len as span_len, score, case when length(s) > 240 then substr(s, 1, 240) || '…' else s end as preview from r join nr using (accession, label) where rank <= 5""",
+    "q_prepared_sections": f"select ticker, fiscal_year, item, fiscal_year || '-01-01' as filing_date, concat_ws('-', ticker, fiscal_year) as accession, length(text) as n from documents where item in ('1A', '7') and {trim('text')} <> ''",
     "q_select_one": "select 1::int as one",
     "q_sql_over_views": "select item, label, count(*) as n from finbert_section_scores where item in ('1A', '7') group by 1, 2",
     "q_alias_discovery": f"""with l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x{{0B}}\\f\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as line from documents where text is not null),

@@ -40,11 +40,24 @@ def scored_pages(spark: SparkSession, raw_base: str, *, tickers: list[str] | Non
     return pages.withColumn("_plain", plain).withColumn("score", documents.page_score(F.col("_plain"), F.col("size"), F.col("name"))).drop("_plain")
 
 
-def parse(spark: SparkSession, *, raw_base: str = "data/raw", out_base: str = "data/bronze", tickers: list[str] | None = None, years: list[int] | None = None, overwrite: bool = False, report: str | None = None, min_chars: dict[str, int] | None = None) -> DataFrame:
+def best_pages(spark: SparkSession, raw_base: str, skip: DataFrame | None = None, *, tickers: list[str] | None = None, years: list[int] | None = None) -> DataFrame:
+    """(ticker, year, path, name, size, text) of the best page of each year but those of skip (ticker, year).
+
+    Pages are chosen by their scores and paths alone; only then the winners are read, and no page is sorted or grouped.
+    """
+    scores = scored_pages(spark, raw_base, tickers=tickers, years=years).select("ticker", "year", "path", "score")
+    if skip is not None:
+        scores = scores.join(skip, ["ticker", "year"], "left_anti")
+    best = materialize(documents.best_page(scores, ["ticker", "year"]).select("path"), "best-pages")
+    return files.read_pages(spark, raw_base, tickers=tickers, years=years).join(best, "path", "left_semi").select("ticker", "year", "path", "name", "size", "text")
+
+
+def parse(spark: SparkSession, *, raw_base: str = "data/raw", out_base: str = "data/bronze", tickers: list[str] | None = None, years: list[int] | None = None, overwrite: bool = False, report: str | None = None, min_chars: dict[str, int] | None = None, with_dates: bool = False) -> DataFrame:
     """Writes the sections of each ticker and year to out_base and returns (and writes) the report, in its schema's columns.
 
     Years that are there already are skipped (SKIP_EXISTS) unless overwrite; a folder without a page is NO_HTML; a page that
-    cannot be parsed is ERROR and stops nothing. Only the best page of each year goes on from the score.
+    cannot be parsed is ERROR, with what went wrong in details, and stops nothing. Only the best page of each year goes on from
+    the score. with_dates: the sections also have the filing date that the page's name tells.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(raw_base).select("path")
     at = lambda n: F.regexp_extract("path", r"/([^/]+)/(\d+)/[^/]+$", n)
@@ -56,15 +69,15 @@ def parse(spark: SparkSession, *, raw_base: str = "data/raw", out_base: str = "d
     there = spark.createDataFrame([], "ticker string, year int")
     if not overwrite and files.exists(spark, out_base):
         there = spark.read.parquet(out_base).select(F.col("ticker").cast("string").alias("ticker"), F.col("year").cast("int").alias("year")).distinct()
-    pages = scored_pages(spark, raw_base, tickers=tickers, years=years)
-    best = documents.best_page(pages.join(there, ["ticker", "year"], "left_anti"), ["ticker", "year"])
-    best = materialize(best.select("ticker", "year", "name", "path", documents.document_lines(F.col("text")).alias("text")), "parse-text")
-    found = sections.extract_sections(best, "ticker", "year", min_chars=min_chars)
-    bronze = found.select("ticker", "year", F.concat(F.lit("Item "), F.col("section")).alias("section"), "text")
+    read = best_pages(spark, raw_base, there, tickers=tickers, years=years).withColumn("p", documents.parse_page(F.col("text")))
+    best = materialize(read.select("ticker", "year", "name", "path", documents.tidy_lines(F.col("p.text")).alias("text"), "p.error"), "parse-text")
+    keys = ("ticker", "year", "name", "path", "error")
+    found = materialize(sections.find_sections(best, *keys, min_chars=min_chars), "parse-sections")
+    bronze = sections.section_rows(found, *keys).select("ticker", "year", F.concat(F.lit("Item "), F.col("section")).alias("section"), "text", *([files.real_filing_date(F.col("name")).alias("filing_date")] if with_dates else []))
     files.write_new_partitions(bronze, out_base, overwrite=overwrite)
 
-    rows = sections.parse_report(best, "ticker", "year", "name", "path", min_chars=min_chars)
-    rows = rows.withColumn("status", F.when(F.col("status") == "NO_HTML", "ERROR").otherwise(F.col("status")))
+    rows = sections.report_rows(found, *keys, min_chars=min_chars)
+    rows = rows.withColumn("status", F.when(F.col("status") == "NO_HTML", "ERROR").otherwise(F.col("status"))).withColumn("path", F.concat_ws(": ", "path", "error")).drop("error")
     done = there.withColumn("skipped", F.lit(True))
     joined = every.join(done, ["ticker", "year"], "left").join(rows, ["ticker", "year"], "left")
     status = F.when(F.col("skipped"), "SKIP_EXISTS").when(F.col("status").isNull(), "NO_HTML").otherwise(F.col("status"))
@@ -75,13 +88,16 @@ def parse(spark: SparkSession, *, raw_base: str = "data/raw", out_base: str = "d
 
 
 def build(spark: SparkSession, *, report: str, bronze: str = "data/bronze", years: list[int] | None = None, min_years: int = 4, carry_1: int = 800, carry_7a: int = 800, min_chars: int = 800, outdir: str = "data/silver") -> DataFrame:
-    """Writes the covered tickers, the coverage summary and the composed dataset (Parquet and CSV) to outdir; returns the dataset."""
-    rows = files.read_report(spark, report)
-    summary = silver.coverage(rows, years=years, item_1a="item_1A", item_7="item_7")
-    files.write_csv(summary.orderBy(F.desc("years_ok_1a7"), "ticker"), f"{outdir}/coverage")
-    files.write_lines(silver.covered_tickers(summary, min_years=min_years), "ticker", f"{outdir}/tickers")
+    """Writes the covered tickers, the coverage summary and the composed dataset (Parquet and CSV) to outdir; returns the dataset.
+
+    Years that a later parse skipped count by the sections that are there.
+    """
     source = spark.read.parquet(bronze)
+    rows = silver.fill_skipped(files.read_report(spark, report), source)
+    summary = materialize(silver.coverage(rows, years=years, item_1a="item_1A", item_7="item_7"), "coverage")
+    files.write_csv(summary.orderBy(F.desc("years_ok_1a7"), "ticker"), f"{outdir}/coverage")
     keep = silver.covered_tickers(summary, min_years=min_years)
+    files.write_lines(keep, "ticker", f"{outdir}/tickers")
     chosen = source.join(keep, "ticker", "left_semi")
     if years:
         chosen = chosen.where(F.col("year").isin(sorted(set(years))))
@@ -91,28 +107,35 @@ def build(spark: SparkSession, *, report: str, bronze: str = "data/bronze", year
     return spark.read.parquet(f"{outdir}/dataset.parquet")
 
 
-def score(spark: SparkSession, *, silver_path: str, outdir: str = "data/gold", emit_sentences: bool = False, resume: bool = False, aliases: str | None = None, **options) -> DataFrame:
+def score(spark: SparkSession, *, silver_path: str, outdir: str = "data/gold", emit_sentences: bool = False, resume: bool = False, aliases: str | None = None, by_model: bool = False, **options) -> DataFrame:
     """Appends section scores (and sentence scores) to outdir; with resume only sections that are not there. Returns the new section rows.
 
-    options are those of scoring.score_sections.
+    The scorer sees each sentence once: its scores are a written table, and section and sentence rows come from that. by_model:
+    a section counts as there only with the same model. options are those of scoring.scored_sentences, and temperature.
     """
     rows = files.read_tables(spark, silver_path)
     target = f"{outdir}/section_scores"
+    model = options.pop("model", "lexicon")
+    temperature = options.pop("temperature", None)
+    keys = [*scoring.KEYS, "model"] if by_model else scoring.KEYS
     done = spark.read.parquet(target) if resume and files.exists(spark, target) else None
+    if by_model and done is not None:
+        done = done.where(F.col("model") == F.lit(model))
     known = files.read_aliases(spark, aliases) if aliases else None
-    gold, sentences = scoring.score_sections(rows, aliases=known, done=done, **options)
+    scored = materialize(scoring.scored_sentences(rows, aliases=known, done=done, **options), "score-sentences")
+    collapsed = options.get("collapse", False)
+    gold = scoring.aggregate_sections(scored, model=model, collapsed=collapsed, threshold=options.get("threshold", 0.25), temperature=temperature)
     gold = materialize(gold, "score-sections")
     if emit_sentences:
-        keys = [*scoring.KEYS, "sent_idx"]
-        files.append_new(sentences, f"{outdir}/sentence_scores", keys)
-    files.append_new(gold, target, scoring.KEYS)
+        files.append_new(scoring.sentence_rows(scored, model=model, collapsed=collapsed), f"{outdir}/sentence_scores", [*keys, "sent_idx"])
+    files.append_new(gold, target, keys)
     return gold
 
 
 def diagnose(spark: SparkSession, *, raw_base: str = "data/raw", ticker: str, year: int, top_k: int = 5, all_labels: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pages by score, ranked section candidates of the best page) of one ticker and year; labels 1A, 7 and 7A, or all."""
     pages = scored_pages(spark, raw_base, tickers=[ticker], years=[year])
-    best = documents.best_page(pages, ["ticker", "year"]).withColumn("text", documents.document_lines(F.col("text")))
+    best = best_pages(spark, raw_base, tickers=[ticker], years=[year]).withColumn("text", documents.document_lines(F.col("text")))
     labels = P.SECTION_LABELS if all_labels else ("1A", "7", "7A")
     ranked = sections.diagnose(best, "ticker", "year", top_k=top_k).where(F.col("label").isin(*labels))
     return pages.select("name", "size", "score").orderBy(F.desc("score"), "name").limit(top_k), ranked

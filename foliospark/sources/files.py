@@ -70,10 +70,16 @@ def write_new_partitions(df: DataFrame, path: str, keys: tuple[str, ...] = ("tic
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys are not at path yet, compressed with zstd; a second run with the same rows adds nothing."""
+    """Appends the rows whose keys are not at path yet, compressed with zstd; a second run with the same rows adds nothing.
+
+    Of rows with the same keys one is appended; null keys are keys like any other. Of the target only the keys are read. Two
+    writers at once may both add the same keys: one stream, or one job, writes a target.
+    """
     spark = df.sparkSession
+    df = df.dropDuplicates(keys)
     if exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+        there = spark.read.parquet(path).select(*[F.col(k).alias(f"_there_{k}") for k in keys]).distinct()
+        df = df.join(there, [F.col(k).eqNullSafe(F.col(f"_there_{k}")) for k in keys], "left_anti")
     df.write.mode("append").option("compression", "zstd").parquet(path)
 
 

@@ -6,7 +6,6 @@ import json
 import os
 import time
 from collections.abc import Iterator
-from pathlib import Path
 from urllib import error, request
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +34,8 @@ def fetch(url: str, *, agent: str = "research contact@example.org", timeout: flo
 
 
 class _Part(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
+    def __init__(self, urls: list[str], lanes: int):
+        self.urls, self.lanes = urls, lanes
 
 
 class _JsonReader(DataSourceReader):
@@ -46,10 +45,10 @@ class _JsonReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         urls = [u for u in self.options.get("urls", "").split("\n") if u]
         n = max(1, min(len(urls), int(self.options.get("partitions", "8"))))
-        return [_Part(urls[k::n]) for k in range(n)]
+        return [_Part(urls[k::n], n) for k in range(n)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        pause = float(self.options.get("pause", "0.35"))
+        pause = float(self.options.get("pause", "0.35")) * partition.lanes  # so that the job as a whole keeps the rate
         for url in partition.urls:
             body = fetch(url, timeout=float(self.options.get("timeout", "30")))
             yield url, None if body is None else body.decode("utf-8", "replace")
@@ -128,34 +127,49 @@ def raw_name(ticker: Column, date: Column, accession: Column, document: Column)
     return safe_name(F.concat(F.concat_ws("_", ticker, date, accession), F.when(ext == "", ".html").otherwise(ext)))
 
 
-def download(documents: DataFrame, outdir: str, *, pause: float = 0.35, timeout: float = 60) -> DataFrame:
+def download(documents: DataFrame, outdir: str, *, pause: float = 0.35, timeout: float = 60, lanes: int = 1) -> DataFrame:
     """(url, path, ok): documents has url, ticker, year and name; bodies go to outdir/<ticker>/<year>/<name>.
 
-    A file that is there and not empty counts as done and is not fetched. Failures leave ERROR_<name>.txt. The folder must be
-    one that all executors share; each partition pauses after each fetch.
+    A file that is there and not empty counts as done and is not fetched. Failures leave ERROR_<name>.txt. outdir is a folder,
+    or an address of a file system that Arrow knows, that all executors reach. The job as a whole asks once in pause seconds:
+    each of the lanes waits lanes times as long.
     """
 
     def run(batches):
         import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(outdir) if "://" in outdir else (fs.LocalFileSystem(), outdir.removeprefix("file:"))
+
+        def put(path: str, body: bytes) -> None:
+            part = f"{path}.{os.getpid()}.part"
+            with store.open_output_stream(part) as f:
+                f.write(body)
+            store.move(part, path)
 
         for df in batches:
             out = []
             for url, ticker, year, name in zip(df["url"], df["ticker"], df["year"], df["name"]):
-                to = Path(outdir) / str(ticker) / str(year) / name
-                if to.exists() and to.stat().st_size > 0:
-                    out.append((url, str(to), True))
+                folder = f"{root}/{ticker}/{year}"
+                to = f"{folder}/{name}"
+                there = store.get_file_info(to)
+                if there.is_file and there.size:
+                    out.append((url, to, True))
                     continue
-                to.parent.mkdir(parents=True, exist_ok=True)
+                store.create_dir(folder, recursive=True)
                 body = fetch(url, timeout=timeout)
                 if body:
-                    part = to.with_name(f".{to.name}.{os.getpid()}")
-                    part.write_bytes(body)
-                    part.replace(to)
+                    put(to, body)
                 else:
-                    (to.parent / f"ERROR_{to.name}.txt").write_text(json.dumps({"url": url}))
-                out.append((url, str(to), bool(body)))
+                    put(f"{folder}/ERROR_{name}.txt", json.dumps({"url": url}).encode())
+                out.append((url, to, bool(body)))
                 if not url.startswith("file:"):
-                    time.sleep(pause)
+                    time.sleep(pause * lanes)
             yield pd.DataFrame(out, columns=["url", "path", "ok"])
 
-    return documents.select("url", "ticker", "year", "name").mapInPandas(run, "url string, path string, ok boolean")
+    return documents.select("url", "ticker", "year", "name").repartition(lanes).mapInPandas(run, "url string, path string, ok boolean")
+
+
+def download_totals(done: DataFrame) -> DataFrame:
+    """(n_ok, n_failed) of what download returns."""
+    return done.agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"))

@@ -64,3 +64,40 @@ def test_ingest_reads_days_without_hyphens(spark, tmp_path):
     (tmp_path / "docs/7/12/a.htm").write_bytes(b"<p>report</p>")
     out = pipeline.ingest(spark, tickers="ab", map_url=u("map.json"), submissions_url=u("{name}"), documents_url=u("docs"), outdir=str(tmp_path / "raw"), sleep=0)
     assert [(r["ok"], r["path"].rsplit("/", 3)[1:]) for r in out.collect()] == [(True, ["AB", "2022", "AB_20220201_1-2.htm"])]
+
+
+def test_a_later_parse_changes_no_coverage(spark, tmp_path):
+    raw, bronze = str(tmp_path / "raw"), str(tmp_path / "bronze")
+    for year in (2020, 2021):
+        d = tmp_path / "raw" / "AB" / str(year)
+        d.mkdir(parents=True)
+        (d / f"AB_{year}-03-01_1-{year}.htm").write_bytes(page("FORM 10-K", "Item 1A. Risk Factors", "Losses could adversely affect us. " * 40, "Item 7. Results of Operations", "There was strong growth in profit. " * 40, "Item 8. Statements", "x"))
+    least = {"1": 100, "1A": 100, "7": 100, "7A": 100}
+    data = []
+    for k in range(2):
+        pipeline.parse(spark, raw_base=raw, out_base=bronze, report=str(tmp_path / f"report{k}"), min_chars=least, with_dates=True)
+        out = pipeline.build(spark, report=str(tmp_path / f"report{k}"), bronze=bronze, min_years=2, outdir=str(tmp_path / f"out{k}"))
+        data.append(sorted((r["ticker"], r["year"], r["section"], r["text"]) for r in out.collect()))
+    assert data[0] == data[1] and len(data[0]) == 4
+    assert {str(r["filing_date"]) for r in spark.read.parquet(bronze).collect()} == {"2020-03-01", "2021-03-01"}
+
+
+def test_the_model_sees_each_sentence_once(spark, tmp_path):
+    rows = spark.createDataFrame([("AB", 2020, "Item 7", "The profit of the year was far over that of the last one. Losses were few and small in all our divisions."), ("AB", 2021, "Item 7", "Nothing at all is to be said about this year.")], "ticker string, year int, section string, text string")
+    rows.write.parquet(str(tmp_path / "silver"))
+    log = str(tmp_path / "seen")
+
+    def make():
+        def scorer(batch):
+            with open(log, "a") as f:
+                f.writelines(f"{s}\n" for s in batch)
+            return [(0.5, 0.25, 0.25)] * len(batch)
+
+        return scorer
+
+    how = {"silver_path": str(tmp_path / "silver"), "outdir": str(tmp_path / "gold"), "emit_sentences": True, "resume": True, "by_model": True, "make_scorer": make}
+    assert pipeline.score(spark, model="a", **how).count() == 2
+    seen = open(log).read().splitlines()
+    assert len(seen) == len(set(seen)) == 3
+    assert pipeline.score(spark, model="a", **how).count() == 0 and pipeline.score(spark, model="b", **how).count() == 2
+    assert spark.read.parquet(str(tmp_path / "gold/sentence_scores")).count() == 6

@@ -122,3 +122,40 @@ def test_windows(spark):
     ev = spark.createDataFrame([(dt.datetime(2020, 1, 1, 0, m), "x", 1.5) for m in (5, 50, 65 - 60)], "ts timestamp, event_type string, value double")
     row = windowed_counts(ev).collect()
     assert len(row) == 1 and row[0]["n"] == 3 and row[0]["total"] == 4.5
+
+
+def test_xml_is_found_anywhere_and_parsed_as_such(spark):
+    late = "x" * 5000
+    cases = [(f"{late}<xbrl >", True), ("<DOCUMENT type='XML'>", True), ("<DOCUMENT>\n<TYPE>XML", False), ("<xbrlfoo>", False), (f"{late}<xbrli:a>", True), ("\n <?xml version='1.0'?>", True), (f"{late}<?xml", False), ("", False), (None, None)]
+    got = spark.createDataFrame(list(enumerate(c[0] for c in cases)), "k int, p string").select("k", D.looks_like_xml(F.col("p")).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in got] == [c[1] for c in cases]
+    pages = ["<?xml version='1.0' encoding='utf-16'?><a><script>x</script><p>A&amp;B</p><![CDATA[1 < 2]]><br/>é</a>", "<?xml version='1.0'?><a><p>broken &nbsp; <b>page</a>", "<p>plain <![CDATA[gone]]></p>", None, ""]
+    lines = [r[0] for r in spark.createDataFrame(list(enumerate(pages)), "k int, p string").orderBy("k").select(D.document_lines(F.col("p"))).collect()]
+    assert lines[0] == "A&B\n1 < 2\n\né" and "broken" in lines[1] and "page" in lines[1] and lines[2].startswith("plain") and lines[3] is None and lines[4] == ""
+    assert D._guarded(5, False)[0] is None and "TypeError" in D._guarded(5, True)[1]
+
+
+def test_bytes_that_are_no_text_go_and_the_replacement_sign_stays(spark):
+    raw = "a�".encode() + b"\xff\xfe" + "é".encode()[:1] + b"b"
+    assert spark.createDataFrame([(raw,)], "c binary").select(D.decode_page(F.col("c"))).head()[0] == "a�b"
+
+
+def test_appended_keys_are_single_and_null_safe(spark, tmp_path):
+    rows = spark.createDataFrame([("A", None, 1), ("A", None, 2), (None, 3, 4)], "ticker string, year int, v int")
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        files.append_new(rows, path, ["ticker", "year"])
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_tables_of_the_catalog_and_failing_queries(spark, tmp_path):
+    from foliospark.operators import analytics
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    for _ in range(2):
+        assert analytics.register(spark, "folio_kept", str(tmp_path / "t"), persistent=True).count() == 3
+    assert spark.catalog.tableExists("folio_kept") and analytics.try_sql(spark, "select count(*) as n from folio_kept")[0].head()["n"] == 3
+    df, error = analytics.try_sql(spark, "select * from nowhere_at_all")
+    assert df is None and "nowhere_at_all" in error
+    spark.sql("drop table folio_kept")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
