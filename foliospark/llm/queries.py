@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm import encode, language, lines, mix, nearest, neardup, sentences, split
-from foliospark.storage import shared_dir
+from foliospark.storage import materialize, shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
+def p7_deviation(spark: SparkSession, d: str) -> DataFrame:
+    return mix.deviation(materialize(mix.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets")), "mix"))
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     return language.languages_of(docs, language.train(_t(spark, d, "lang_samples"), docs))
@@ -158,6 +162,7 @@ QUERIES = {
     "p6_decoded": p6_decoded,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_deviation": p7_deviation,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

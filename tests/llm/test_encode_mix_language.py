@@ -187,3 +187,26 @@ def test_confidence_is_calibrated_on_held_out_samples(samples):
     assert language.calibrated(samples) in language.SHARPNESSES
     assert language.calibrated(samples[:5]) == language.SHARPNESS
     assert language.calibrated([]) == language.SHARPNESS
+
+
+def test_cycles_keep_blocks_small_and_every_source_near_its_share(spark):
+    blocks, cycles = mix.cycle_of({"a": 900_000.0, "b": 99_000.0, "c": 1_000.0}, block_tokens=100, max_blocks=50)
+    assert cycles == 200 and blocks == {"a": 45, "b": 5, "c": 1}
+    assert mix.cycle_of({}) == ({}, 0) and mix.cycle_of({"a": 0.0}) == ({}, 0)
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 7 then 'big' when id % 10 < 9 then 'mid' else 'small' end as source", "repeat('word ', cast(id % 13 as int)) as text")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3)], "source string, target_share double, max_repeats int")
+    made = mix.mix_sources(docs, targets, block_tokens=64, max_blocks=20, bucket_rows=100)
+    rows = sorted(made.collect(), key=lambda r: (r["slot"], r["place"]))
+    assert len({(r["doc_id"], r["copy_no"]) for r in rows}) == len(rows) and max(r["slot"] for r in rows) > 100
+    by, total, at = {}, 0, {}
+    for r in rows:
+        by[r["source"]] = by.get(r["source"], 0) + r["n_tokens"]
+    whole = sum(by.values())
+    worst = dict.fromkeys(by, 0.0)
+    for r in rows:
+        at[r["source"]], total = at.get(r["source"], 0) + r["n_tokens"], total + r["n_tokens"]
+        for s in by:
+            worst[s] = max(worst[s], abs(at.get(s, 0) - by[s] / whole * total))
+    assert all(w <= 2 * 64 + 2 * 13 for w in worst.values())
+    seen = {r["source"]: r["most_off"] for r in mix.deviation(made, chunk=7).collect()}
+    assert seen.keys() == worst.keys() and all(seen[s] <= worst[s] + 1e-6 for s in worst)
