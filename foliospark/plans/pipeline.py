@@ -9,7 +9,7 @@ from foliospark import schemas
 from foliospark.functions import patterns as P
 from foliospark.operators import documents, scoring, sections, silver
 from foliospark.sources import files, filings
-from foliospark.storage import materialize
+from foliospark.storage import discard, materialize
 
 
 def ingest(spark: SparkSession, *, tickers: str | None = None, tickers_file: str | None = "tickers.txt", map_url: str, submissions_url: str, documents_url: str, start: str = "2020-01-01", end: str = "2024-12-31", outdir: str = "data/raw", sleep: float = 0.35) -> DataFrame:
@@ -73,6 +73,7 @@ def parse(spark: SparkSession, *, raw_base: str = "data/raw", out_base: str = "d
     best = materialize(read.select("ticker", "year", "name", "path", documents.tidy_lines(F.col("p.text")).alias("text"), "p.error"), "parse-text")
     keys = ("ticker", "year", "name", "path", "error")
     found = materialize(sections.find_sections(best, *keys, min_chars=min_chars), "parse-sections")
+    discard(best)
     bronze = sections.section_rows(found, *keys).select("ticker", "year", F.concat(F.lit("Item "), F.col("section")).alias("section"), "text", *([files.real_filing_date(F.col("name")).alias("filing_date")] if with_dates else []))
     files.write_new_partitions(bronze, out_base, overwrite=overwrite)
 
@@ -129,6 +130,7 @@ def score(spark: SparkSession, *, silver_path: str, outdir: str = "data/gold", e
     if emit_sentences:
         files.append_new(scoring.sentence_rows(scored, model=model, collapsed=collapsed), f"{outdir}/sentence_scores", [*keys, "sent_idx"])
     files.append_new(gold, target, keys)
+    discard(scored)
     return gold
 
 

@@ -30,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The table stays there until the folder is cleaned, as the result may be read at any time; an own folder goes with the process.
+    The table stays there until it is discarded or the folder is cleaned, as the result may be read at any time; an own folder
+    goes with the process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliospark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a frame that materialize made, once nothing will read it again; nothing for other frames."""
+    path = getattr(df, "_foliospark_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
