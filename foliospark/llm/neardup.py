@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import log
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm._arrow import small_batches
-from foliospark.storage import materialize
+from foliospark.storage import discard, materialize
 
 SEGMENTS = 8
 FREQUENCY_BITS = 24
-MEMBER_BITS = 22
+#: Slots for each document that is asked for, and the most of them as a power of two (32 MB).
+MEMBER_SLOTS, MEMBER_BITS = 16, 28
 HOT = 2000
 #: Runs that a pair must share among the indexed ones (fewer only where it need not share as many at all).
 AGREE = 3
-HOT_LEVEL = 120
+#: A run this far over the mean level, and over the level of HOT, is known to be hot before it is shuffled: 40 are 32 times as many.
+HOT_OVER_MEAN = 40
+#: Pairs of a partition that are held at once, about.
+PAIRS_AT_ONCE = 4_000_000
 BLOCK = 2000
 TOKENS_A_PART = 2_000_000
 EXPAND_UP_TO = 1000
@@ -215,28 +219,62 @@ def group_pairs(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray, plac
     return pa_[first], pb[first], np.add.reduceat(n, first), hot_rows
 
 
+def token_slices(tokens: np.ndarray, most_pairs: int) -> Iterator[np.ndarray]:
+    """Places of the tokens in slices, equal ones together, each slice with about most_pairs pairs of equal ones at most.
+
+    A single token with more pairs stands alone.
+    """
+    if not len(tokens):
+        return
+    order = np.argsort(tokens, kind="stable")
+    t = tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(t)]]))
+    block = np.cumsum(counts * (counts - 1) // 2) // most_pairs
+    cuts = starts[np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))]
+    for x, y in zip(cuts, [*cuts[1:], len(t)]):
+        yield order[x:y]
+
+
 def _flags(rows: DataFrame, width: int) -> np.ndarray:
-    """Numbers (bucket) below width as an array of 0 and 1; what comes to the driver are its bytes, of a fixed size."""
+    """Numbers (bucket) below width as bits, packed to bytes; what comes to the driver is width / 8 bytes."""
 
-    def pack(key, table):
-        out = np.zeros(CHUNK, np.uint8)
-        out[np.asarray(table["bucket"]) % CHUNK] = 1
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.asarray(batch.column(0), dtype=np.int64)
+            for part in np.unique(at // (8 * CHUNK)):
+                bits = held.setdefault(int(part), np.zeros(8 * CHUNK, np.uint8))
+                bits[at[at // (8 * CHUNK) == part] % (8 * CHUNK)] = 1
+        for part, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bytes"])
+
+    spread = rows.select("bucket").repartition(F.expr(f"bucket div {8 * CHUNK}"))
+    return _assembled(spread.mapInArrow(pack, "part int, bytes binary"), max(width // 8, CHUNK))
 
-    return _assembled(rows.withColumn("part", F.expr(f"cast(bucket div {CHUNK} as int)")).groupBy("part").applyInArrow(pack, "part int, bytes binary"), width)
 
+def _levels(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """From compressed chunks of counts (bucket, sketch) the level of every bucket, and that of the mean count.
 
-def _levels(rows: DataFrame) -> np.ndarray:
-    """From compressed chunks of counts (bucket, sketch) the level of every bucket: eight times the logarithm of one more than its count."""
+    A level is eight times the logarithm of one more than a count. Chunks are added up as they come in, so a worker holds one
+    sum for each of its buckets, however many tasks have sent some.
+    """
 
-    def add(key, table):
-        total = np.zeros(CHUNK, np.int64)
-        for raw in table["sketch"]:
-            total += np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
-        level = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([level.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+                if bucket not in total:
+                    total[bucket] = np.zeros(CHUNK, np.int64)
+                total[bucket] += part
+        for bucket, counts in total.items():
+            level = np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "bytes"])
 
-    return _assembled(rows.groupBy("bucket").applyInArrow(add, "part int, bytes binary"), 1 << FREQUENCY_BITS)
+    levels = _assembled(rows.select("bucket", "sketch").repartition("bucket").mapInArrow(add, "part int, bytes binary"), 1 << FREQUENCY_BITS)
+    mean = (np.exp2(levels / 8.0) - 1).mean()
+    return levels, int(round(8 * np.log2(1 + mean)))
 
 
 def _assembled(chunks: DataFrame, width: int) -> np.ndarray:
@@ -323,11 +361,13 @@ def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float, block: int
     return cells.groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
 
-def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, min_words: int = 30, hot: int = HOT, hot_level: int = HOT_LEVEL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, min_words: int = 30, hot: int = HOT, hot_level: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members (cls, doc_id), links (a, b) with a < b): classes of equal run sets, and all pairs of classes at or over threshold.
 
     Words stand between white space in the lower-cased text. Null ids and texts, and texts under min_words words, are in no
-    class; ids may repeat; an empty table gives empty results; other columns are not read.
+    class; ids may repeat; an empty table gives empty results; other columns are not read. hot_level: the level from which a
+    run is taken for hot before it is shuffled; by default it follows the mean count of the sketch, so it is a property of the
+    run and not of the size of the table. Runs that more than hot classes index are found by exact count in any case.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -335,7 +375,10 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     documents = read.where("kind = 0")
     members = documents.select("cls", "doc_id").distinct()
     sketches = documents.groupBy("cls").agg(F.min(F.struct("doc_id", "size", "sketch")).alias("s")).select("cls", "s.size", "s.sketch")
-    level = spark.sparkContext.broadcast(_levels(read.where("kind = 1").select("bucket", "sketch")))
+    levels, mean_level = _levels(read.where("kind = 1"))
+    if hot_level is None:
+        hot_level = max(int(round(8 * log2(1 + 16 * hot))), mean_level + HOT_OVER_MEAN)
+    level = spark.sparkContext.broadcast(levels)
     asked = documents.agg(F.coalesce(F.sum(F.col("size") * (1 - threshold) + AGREE), F.lit(0))).head()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), int(asked // TOKENS_A_PART) + 1)
 
@@ -383,12 +426,17 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         place = (t >> np.uint64(40)).astype(np.int64)
         t &= _M40
         known = s < 0
-        a, b, shared, rows = group_pairs(t[~known], c[~known], s[~known], place[~known], threshold, hot)
+        t0, c0, s0, p0 = t[~known], c[~known], s[~known], place[~known]
         names = ["kind", "a", "b", "size", "rest"]
         step = 1 << 18
-        for k in range(0, len(a), step):
-            n = len(a[k : k + step])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.array(shared[k : k + step].astype(np.int32)), pa.nulls(n, pa.int32())], names=names)
+        hot_at = []
+        for own in token_slices(t0, PAIRS_AT_ONCE):
+            a, b, shared, rows = group_pairs(t0[own], c0[own], s0[own], p0[own], threshold, hot)
+            hot_at.append(own[rows])
+            for k in range(0, len(a), step):
+                n = len(a[k : k + step])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(a[k : k + step]), pa.array(b[k : k + step]), pa.array(shared[k : k + step].astype(np.int32)), pa.nulls(n, pa.int32())], names=names)
+        rows = np.concatenate(hot_at) if hot_at else np.zeros(0, np.int64)
         ht = np.concatenate([t[~known][rows], t[known]]).astype(np.int64)
         hc = np.concatenate([c[~known][rows], c[known]])
         hs = np.concatenate([s[~known][rows], -s[known]]).astype(np.int32)
@@ -415,6 +463,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not hot_rows.isEmpty():
         passed = passed.unionByName(_hot_pairs(hot_rows, sketches, threshold, block)).distinct()
     passed = materialize(passed, "neardup-passed")
+    discard(paired)
     return members, _verified(src, documents, passed, words, min_words, threshold)
 
 
@@ -423,12 +472,15 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
     spark = src.sparkSession
     needed = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     first = documents.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls").select("cls", "doc_id")
-    slots = first.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)).cast("int").alias("bucket")).distinct()
-    asked = spark.sparkContext.broadcast(_flags(slots, 1 << MEMBER_BITS))
+    first = materialize(first, "neardup-asked")
+    width = 1 << min(MEMBER_BITS, max(17, (MEMBER_SLOTS * first.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
+    asked = spark.sparkContext.broadcast(_flags(first.select(slot.alias("bucket")).distinct(), width))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            hit = asked.value[np.asarray(batch.column(2))] == 1
+            at = np.asarray(batch.column(2))
+            hit = asked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
             part = batch.filter(pa.array(hit))
             cls, packed = [], []
             for t in part.column(1).to_pylist():
@@ -438,8 +490,8 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
                     packed.append(_pack(runs, 5))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "runs"])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS)).cast("int").alias("slot")
-    found = src.select("doc_id", "text", slot).mapInArrow(sets, "cls bigint, runs binary")
+    # The slots let through a few documents of other classes; those meet no pair below.
+    found = src.select("doc_id", "text", slot.alias("slot")).mapInArrow(sets, "cls bigint, runs binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,7 +506,10 @@ def _verified(src: DataFrame, documents: DataFrame, passed: DataFrame, words: in
     ra = found.select(F.col("cls").alias("a"), F.col("runs").alias("ra"))
     rb = found.select(F.col("cls").alias("b"), F.col("runs").alias("rb"))
     # A class can come twice, from documents that share a slot; its pairs are then the same.
-    return materialize(passed.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(check, "a bigint, b bigint").distinct(), "neardup-links")
+    links = materialize(passed.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(check, "a bigint, b bigint").distinct(), "neardup-links")
+    discard(passed)
+    discard(first)
+    return links
 
 
 def similar_pairs(docs: DataFrame, *, expand_up_to: int = EXPAND_UP_TO, **how) -> DataFrame:
@@ -493,7 +548,9 @@ def groups(docs: DataFrame, *, most_rounds: int = 50, **how) -> DataFrame:
         step = labels.join(spread, "x", "left").select("x", F.least("label", F.coalesce("theirs", "label")).alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("x").alias("at"), F.col("label").alias("further"))
         step = materialize(step.join(jump, step["label"] == jump["at"], "left").select("x", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "groups-labels")
-        labels = step.select("x", "label")
+        former, labels = labels, step.select("x", "label")
+        labels._foliospark_path = step._foliospark_path
+        discard(former)
         if step.where("label <> old").isEmpty():
             break
     else:

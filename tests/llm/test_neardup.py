@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,12 @@ def test_the_ring_never_drops_a_pair_over_the_threshold():
             similar = common >= 0.6 * (len(a) + len(b) - common)
             passed = N.ring_filter([N.sketch_of(a)], np.array([len(a)]), [N.sketch_of(b)], np.array([len(b)]), 0.6)[0]
             assert passed or not similar
+
+
+def test_slices_keep_equal_tokens_together():
+    tokens = np.array([5, 1, 5, 2, 1, 9, 5, 9, 7], np.uint64)
+    slices = list(N.token_slices(tokens, 2))
+    assert sorted(np.concatenate(slices).tolist()) == list(range(9)) and len(slices) > 1
+    for t in set(tokens.tolist()):
+        assert sum(t in tokens[s] for s in slices) == 1
+    assert list(N.token_slices(tokens[:0], 2)) == []
