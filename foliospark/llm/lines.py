@@ -29,7 +29,7 @@ def _occurrences(docs: DataFrame, id_col: str, source_col: str, text_col: str, m
     lines = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), norm_ticker(F.col(source_col)).alias("src"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")
     ).where("src is not null and doc_id is not null")
-    lines = lines.select("doc_id", "src", (F.col("line_no") + 1).alias("line_no"), canonical_line(F.col("line")).alias("form"))
+    lines = lines.select("doc_id", "src", (F.col("line_no") + 1).alias("line_no"), F.xxhash64("line").alias("variant"), canonical_line(F.col("line")).alias("form"))
     return lines.where(F.length("form") >= min_chars).select(
         F.xxhash64("src", "form").alias("k1"),
         F.xxhash64("form", F.lit(7), "src").alias("k2"),
@@ -37,6 +37,7 @@ def _occurrences(docs: DataFrame, id_col: str, source_col: str, text_col: str, m
         F.expr("shiftleft(1L, cast(doc_id & 63 as int))").alias("bit"),
         "doc_id",
         "line_no",
+        "variant",
     )
 
 
@@ -77,14 +78,17 @@ def remove_lines(docs: DataFrame, removed: DataFrame, *, id_col: str = "doc_id",
 def repeated_line_report(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "ticker", text_col: str = "text", min_chars: int = 30, min_docs: int = 6) -> DataFrame:
     """(ticker, line, n_docs, n_variants): each repeated line in its canonical form, its documents and its raw spellings.
 
-    The bitmaps of raw spellings are united by canonical form. Only lines over the threshold are carried as text.
+    The bitmaps of raw spellings are united by canonical form. All of it is counted over hashes; each line over the threshold
+    then names one of its places, and its text is taken from there. A row that is there twice counts
+    once; different texts under one id would be taken for one document.
     """
-    often = _over_threshold(_bitmaps(_occurrences(docs, id_col, source_col, text_col, min_chars)), min_docs).select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), norm_ticker(F.col(source_col)).alias("ticker"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("raw"))
-    lines = lines.where("ticker is not null and doc_id is not null").select("doc_id", "ticker", "raw", canonical_line(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
-    lines = lines.withColumns({"k1": F.xxhash64("ticker", "line"), "k2": F.xxhash64("line", F.lit(7), "ticker"), "word": F.shiftright("doc_id", 6)})
-    lines = lines.withColumn("salt", F.pmod("word", F.lit(SALTS)).cast("int")).join(often, ["k1", "k2", "salt"], "left_semi")
-    variants = lines.groupBy("ticker", "line", F.xxhash64("raw").alias("variant"), "word").agg(F.expr("bit_or(shiftleft(1L, cast(doc_id & 63 as int)))").alias("bits"))
-    united = variants.groupBy("ticker", "line", "word").agg(F.expr("bit_or(bits)").alias("bits")).groupBy("ticker", "line").agg(F.sum(F.bit_count("bits")).alias("n_docs"))
-    spelled = variants.select("ticker", "line", "variant").distinct().groupBy("ticker", "line").agg(F.count("*").alias("n_variants"))
-    return united.join(spelled, ["ticker", "line"]).select("ticker", "line", "n_docs", "n_variants")
+    occurrences = _occurrences(docs, id_col, source_col, text_col, min_chars)
+    spelled = occurrences.groupBy("k1", "k2", "variant", "word").agg(F.expr("bit_or(bit)").alias("bits"), F.min_by("line_no", "doc_id").alias("line_no"), F.min("doc_id").alias("doc_id"))
+    spelled = materialize(spelled, "lines-spellings")
+    united = spelled.groupBy("k1", "k2", "word").agg(F.expr("bit_or(bits)").alias("bits"), F.min_by("line_no", "doc_id").alias("line_no"), F.min("doc_id").alias("doc_id"))
+    often = united.groupBy("k1", "k2").agg(F.sum(F.bit_count("bits")).alias("n_docs"), F.min_by("line_no", "doc_id").alias("line_no"), F.min("doc_id").alias("doc_id")).where(F.col("n_docs") >= min_docs)
+    variants = spelled.groupBy("k1", "k2", "variant").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n_variants"))
+    kept = often.join(variants, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "n_docs", "n_variants")).alias("_own")).withColumnRenamed("doc_id", "_at")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), norm_ticker(F.col(source_col)).alias("ticker"), F.col(text_col).alias("_text")).where("ticker is not null and _text is not null")
+    named = texts.join(kept, F.col("_id") == F.col("_at")).select("ticker", F.split("_text", "\n", -1).alias("_lines"), F.explode("_own").alias("o"))
+    return named.select("ticker", canonical_line(F.element_at("_lines", F.col("o.line_no"))).alias("line"), "o.n_docs", "o.n_variants").distinct()

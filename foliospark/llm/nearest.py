@@ -35,12 +35,28 @@ def wall_micros(ts: Column) -> Column:
     return day + (F.hour(ntz) * 3600 + F.minute(ntz) * 60).cast("bigint") * SECOND + (F.date_part(F.lit("SECOND"), ntz) * SECOND).cast("bigint")
 
 
+def _key(point: Column, record: Column) -> Column:
+    """Twice the distance, and one more for a later record: the least key is the nearest record, of two as near the earlier one."""
+    return F.abs(record - point) * 2 + (record > point).cast("bigint")
+
+
+def _nearer(point: Column, records: list[tuple[Column, Column]]) -> list[Column]:
+    """(k, r_id) of the nearest of the records (at, id), null where there is none."""
+    keys = [_key(point, at) for at, _ in records]
+    best = F.least(*keys) if len(keys) > 1 else keys[0]
+    return [best.alias("k"), F.coalesce(*[F.when(k == best, r_id) for k, (_, r_id) in zip(keys, records)]).alias("r_id")]
+
+
 def _resolve(points: DataFrame, records: DataFrame, tolerance: int, rings: int) -> DataFrame:
-    """(entity, at, dist, r_at, r_id) of distinct points (entity, at) and distinct records (entity, at, r_id); times in microseconds."""
+    """(entity, at, dist, r_at, r_id) of distinct points (entity, at) and distinct records (entity, at, r_id); times in microseconds.
+
+    Candidates are compared by one number (_key), so that every aggregation is by hash. Rings end where no point is open.
+    """
     ring0 = max(1, -(-tolerance // 2**rings))
     records = records.withColumn("bucket", _bucket(F.col("at"), ring0))
     open_points = points.withColumn("bucket", _bucket(F.col("at"), ring0))
-    edges0 = materialize(records.groupBy("entity", "bucket").agg(F.min(F.struct("at", "r_id")).alias("first"), F.max(F.struct("at", "r_id")).alias("last")), "nearest-edges")
+    first_last = lambda fa, fi, la, li: [F.min(fa).alias("fa"), F.min_by(fi, fa).alias("fi"), F.max(la).alias("la"), F.max_by(li, la).alias("li")]
+    edges0 = materialize(records.groupBy("entity", "bucket").agg(*first_last("at", "r_id", "at", "r_id")), "nearest-edges")
 
     # Ring 0, the own bucket: the last record at or before the point, and the first after it.
     rec = F.struct("at", "r_id")
@@ -49,20 +65,24 @@ def _resolve(points: DataFrame, records: DataFrame, tolerance: int, rings: int)
     )
     w = W.partitionBy("entity", "bucket")
     both = both.withColumn("before", F.last("rec", True).over(w.orderBy("at", "side"))).withColumn("after", F.last("rec", True).over(w.orderBy(F.desc("at"), F.desc("side"))))
-    own = both.where("side = 1").select("entity", "at", F.explode(F.array("before", "after")).alias("rec"))
+    own = both.where("side = 1").select("entity", "at", *_nearer(F.col("at"), [(F.col(f"{x}.at"), F.col(f"{x}.r_id")) for x in ("before", "after")]))
 
     found, width = [], ring0
     for ring in range(rings + 1):
-        edges = edges0.groupBy("entity", F.shiftright("bucket", ring).alias("bucket")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        edges = edges0 if ring == 0 else edges0.groupBy("entity", F.shiftright("bucket", ring).alias("bucket")).agg(*first_last("fa", "fi", "la", "li"))
         asked = open_points.select("entity", "at", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
-        near = asked.join(edges, ["entity", "bucket"], "left").select("entity", "at", F.explode(F.array("first", "last")).alias("rec"))
+        near = asked.join(edges, ["entity", "bucket"], "left").select("entity", "at", *_nearer(F.col("at"), [(F.col("fa"), F.col("fi")), (F.col("la"), F.col("li"))]))
         if ring == 0:
             near = near.unionByName(own)
-        near = near.select("entity", "at", F.when(F.col("rec").isNotNull(), F.struct(F.abs(F.col("rec.at") - F.col("at")).alias("dist"), F.col("rec.at").alias("r_at"), F.col("rec.r_id").alias("r_id"))).alias("c"))
-        best = materialize(near.groupBy("entity", "at").agg(F.min("c").alias("c")).select("entity", "at", "c.*"), f"nearest-ring{ring}")
-        found.append(best.where(F.col("dist") <= min(width, tolerance)))
+        best = near.groupBy("entity", "at").agg(F.min("k").alias("k"), F.min_by("r_id", "k").alias("r_id")).withColumn("dist", F.shiftright("k", 1))
+        best = materialize(best, f"nearest-ring{ring}")
+        r_at = F.when(F.col("k").bitwiseAND(F.lit(1)) == 1, F.col("at") + F.col("dist")).otherwise(F.col("at") - F.col("dist"))
+        found.append(best.where(F.col("dist") <= min(width, tolerance)).select("entity", "at", "dist", r_at.alias("r_at"), "r_id"))
+        still = best.where(F.col("dist").isNull() | (F.col("dist") > width))
         width *= 2
-        open_points = best.where(f"dist is null or dist > {width // 2}").select("entity", "at", F.shiftright(_bucket(F.col("at"), ring0), ring + 1).alias("bucket"))
+        open_points = still.select("entity", "at", F.shiftright(_bucket(F.col("at"), ring0), ring + 1).alias("bucket"))
+        if ring < rings and open_points.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found)
 
 
