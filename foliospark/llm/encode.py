@@ -13,7 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm._arrow import each_batch, list_of
@@ -27,11 +28,21 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     return tok
 
 
+def _sent(spark: SparkSession, path: str) -> None:
+    """Gives the tokenizer's file to every executor, for those that do not have it at its path."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of the byte alphabet stands for: printable Latin-1 bytes are themselves, the others follow from U+0100."""
     plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
@@ -69,6 +80,7 @@ def encode_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         flat = np.fromiter((i for row in ids for i in row), dtype=np.int32, count=sum(map(len, ids)))
         return pa.RecordBatch.from_arrays([batch.column(0), list_of(flat, [len(r) for r in ids])], schema=schema)
 
+    _sent(docs.sparkSession, tokenizer)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each_batch(encode, "text"), "doc_id bigint, ids array<int>")
 
 
@@ -79,6 +91,7 @@ def count_tokens(docs: DataFrame, *keep: str, text_col: str = "text", tokenizer:
         n = [len(e) for e in _encode([t or "" for t in batch.column(len(keep)).to_pylist()], tokenizer)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
+    _sent(docs.sparkSession, tokenizer)
     picked = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(each_batch(count, "_text"), f"{kinds}, n_tokens bigint")
@@ -98,15 +111,21 @@ def token_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         places = np.array([o for e in encoded for o in e.offsets], dtype=np.int32).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([batch.column(0), *(list_of(np.ascontiguousarray(c), lengths) for c in (flat, places[:, 0], places[:, 1]))], schema=schema)
 
+    _sent(docs.sparkSession, tokenizer)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each_batch(run, "text"), "doc_id bigint, ids array<int>, starts array<int>, ends array<int>")
 
 
-def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = BYTE_BPE_50K) -> DataFrame:
-    """(doc_id, text) from token ids; a null list gives a null text."""
+def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = BYTE_BPE_50K, most_ids: int = 1 << 20) -> DataFrame:
+    """(doc_id, text) from token ids; a null list gives a null text. About most_ids ids are decoded at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if r is None else decode_ids(r, tokenizer) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0), dtype=np.int64)
+            block = np.cumsum(sizes) // most_ids
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                texts = [None if r is None else decode_ids(r, tokenizer) for r in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    _sent(encoded.sparkSession, tokenizer)
     return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id bigint, text string")

@@ -454,9 +454,13 @@ def against_older_counts(docs: DataFrame, scored: DataFrame) -> DataFrame:
     scored has accession, item and n_sentences on each of its rows, at times null or wrong: the count that most rows of the
     section give is taken, the least of equally frequent ones. Sections without a count have null in n_older.
     """
-    counted = sentence_ends(docs.select(F.xxhash64("accession", "item").alias("doc_id"), "text", "accession", "item").where("accession is not null and item is not null").select("doc_id", "text"))
-    counted = counted.groupBy("doc_id").agg(F.max(F.size("ends")).cast("bigint").alias("n_units"))
-    names = docs.select("accession", "item").where("accession is not null and item is not null").distinct().withColumn("doc_id", F.xxhash64("accession", "item"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = [len(ends_of(t)) if t else 0 for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["accession", "item", "n"])
+
+    named = docs.select("accession", "item", "text").where("accession is not null and item is not null")
+    counted = named.mapInArrow(each_batch(run, "text"), "accession string, item string, n bigint").groupBy("accession", "item").agg(F.max("n").alias("n_units"))
     votes = scored.where("n_sentences is not null").groupBy("accession", "item", "n_sentences").count()
     older = votes.groupBy("accession", "item").agg(F.max_by(F.col("n_sentences").cast("bigint"), F.struct(F.col("count"), -F.col("n_sentences"))).alias("n_older"))
-    return names.join(counted, "doc_id").join(older, ["accession", "item"], "left").select("accession", "item", "n_units", "n_older")
+    return counted.join(older, ["accession", "item"], "left").select("accession", "item", "n_units", "n_older")
