@@ -4,7 +4,8 @@ A text is first cut where its layout ends a unit: paragraphs, headings, list ite
 hard-wrapped paragraph are white space. Each piece then goes through a pushdown automaton that visits only its events:
 terminators, brackets and quotation marks. Its stack holds the open brackets and quotations (an opening sign with no partner
 in the piece is ordinary text), and no unit ends while the stack holds anything. A full stop is looked up in a trie of
-abbreviations, read backwards from the stop; scripts have their own terminators, and Thai ends sentences by a space.
+abbreviations, read backwards from the stop; scripts have their own terminators, and Thai ends sentences by a space. The
+levels of lists have a stack of their own, by lines: the next item of an open list never goes on from the line before it.
 
 The automaton emits offsets in code points; the text of a unit is cut out by them.
 """
@@ -78,6 +79,8 @@ _THAI_EVENT = re.compile(_EVENT.pattern + r"|(?<=[ก-ๅ็-๛\d)%”\"])\s+(?
 _LINE = re.compile(r"[^\n]+")
 _ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)]\s)")
 _BRACKET_ITEM = re.compile(r"\s*(?:[-–—•*·▪◦●○‣]\s|\(?\d{1,3}[.)]\s)")
+_MARKER = re.compile(r"(\s*)(?:([-–—•*·▪◦●○‣])|(\(?)(\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})([.)]))\s")
+_ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv"]
 _HEADING = re.compile(r"(?:item|part)\s+[\dIVX]+\S*(?:\s|$)", re.IGNORECASE)
 _HEAD_NUMBER = re.compile(r"(?:item|part)\s+\S{1,5}$", re.IGNORECASE)
 #: German ordinals, as in "ab dem 1. Quartal".
@@ -128,6 +131,60 @@ def _is_title(line: str) -> bool:
     return not any(w[-1] in ENDS for w in words) and all(w[0].isupper() or w in ("of", "and", "the", "for", "in", "to") for w in words)
 
 
+def _marker(line: str) -> tuple[int, str, int] | None:
+    """(indent, kind, number) of the list marker a line begins with; a bullet's number is 0, a letter's its place, a roman one's is read."""
+    m = _MARKER.match(line)
+    if not m:
+        return None
+    space, bullet, opened, number, shut = m.groups()
+    if bullet:
+        return len(space), bullet, 0
+    kind, low = opened + shut, number.lower()
+    if number.isdigit():
+        return len(space), "1" + kind, int(number)
+    if low in _ROMAN:
+        return len(space), ("i" if number.islower() else "I") + kind, _ROMAN.index(low) + 1
+    if len(number) > 1:
+        return None
+    return len(space), ("a" if number.islower() else "A") + kind, ord(low) - 96
+
+
+def next_items(lines: list[str], blank_before: list[bool]) -> list[bool]:
+    """Which lines are the next numbered item of a list that is open there.
+
+    The stack holds the open list levels, each with its indent, its kind of marker and its last number. A marker of an open
+    level pops the levels inside it; another one pushes a level if it begins a list. A line without a marker that stands no
+    deeper than the level after a blank line ends it.
+    """
+    stack: list[list] = []
+    out = []
+    for line, blank in zip(lines, blank_before):
+        marker = _marker(line)
+        known = False
+        if marker:
+            indent, kind, number = marker
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == indent and stack[k][1] == kind), -1)
+            if at < 0 and kind[0] in "iI" and number == 1:  # (i) may go on (h)
+                other = ("a" if kind[0] == "i" else "A") + kind[1:]
+                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][:2] == [indent, other] and stack[k][2] == 8), -1)
+                if at >= 0:
+                    number = 9
+            if at >= 0:
+                known = number == stack[at][2] + 1
+                del stack[at + 1 :]
+                stack[at][2] = number
+            elif number <= 1:
+                while stack and stack[-1][0] > indent:
+                    stack.pop()
+                stack.append([indent, kind, number])
+        elif blank:
+            indent = len(line) - len(line.lstrip())
+            while stack and stack[-1][0] >= indent:
+                stack.pop()
+        out.append(known)
+    return out
+
+
 def pieces(text: str) -> list[tuple[int, int]]:
     """[start, end) of what the layout sets apart; line breaks inside hard-wrapped paragraphs do not part it."""
     lines = [m.span() for m in _LINE.finditer(text)]
@@ -151,6 +208,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
         gap = False
     if not wide:
         return []
+    next_item = next_items([text[a:b] for a, b, *_ in wide], blank_before) if any(w[4] for w in wide) else [False] * len(wide)
     joins = [False] * len(wide)  # line k goes on from line k - 1
     candidates = sure = 0
     for k in range(1, len(wide)):
@@ -173,7 +231,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
                 continue
             _, _, a, row_a, _ = wide[k - 1]
             _, _, b, row_b, _ = wide[k]
-            if row_a or row_b or _HEADING.match(a) or (not b[0].islower() and _is_title(a)):
+            if next_item[k] or row_a or row_b or _HEADING.match(a) or (not b[0].islower() and _is_title(a)):
                 continue
             if b[0].islower() and a[-1] not in ENDS:
                 joins[k] = True

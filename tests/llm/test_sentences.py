@@ -105,3 +105,20 @@ def test_operator_handles_nulls_and_counts(spark):
     older = spark.createDataFrame([("a", "1", 3), ("a", "1", 3), ("a", "1", 9), ("a", "1", None)], "accession string, item string, n_sentences int")
     got = {r["accession"]: (r["n_units"], r["n_older"]) for r in S.against_older_counts(sections, older).collect()}
     assert got == {"a": (2, 3), "b": (1, None)}
+
+
+def test_list_levels_open_go_on_and_close():
+    next_items = S.next_items
+    lines = ["1. one", "  (a) first", "  (b) second", "2. two", "plain words", "7. no next one", "3. not the next of 7", "Text", "4. no list any more"]
+    blank = [True, False, False, False, False, False, False, True, False]
+    assert next_items(lines, blank) == [False, False, True, True, False, False, False, False, False]
+    assert next_items(["(h) eight", "(i) nine"], [True, False]) == [False, False]
+    letters = [f"({c}) x" for c in "abcdefghij"]
+    assert next_items(letters, [True] * 10) == [False] + [True] * 9
+    assert next_items([], []) == []
+
+
+def test_the_next_item_of_an_open_list_begins_a_unit():
+    first = "(1) the company agreed to sell the harbor land and the old machines of the"
+    text = "\n".join([first, "northern plant to a local partner for cash, and the partner agreed to pay", "(2) the rest of the price within five years after the sale of the land was", "entered in the register."])
+    assert text.index("(2)") in [e + 1 for e in S.ends_of(text)]
